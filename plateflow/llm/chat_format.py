@@ -20,7 +20,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 def escape(text: Column) -> Column:
     """A backslash goes between `<` (and the backslashes behind it) and `|`: no `<|` is left, and unescape() undoes it."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: Column) -> Column:
