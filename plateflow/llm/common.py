@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +54,7 @@ class _Blocks:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()
+            sizes = pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()
             first = total = 0
             for i, n in enumerate(sizes):
                 if total and total + n > BLOCK_CHARS:
