@@ -46,7 +46,7 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     known = messages.select("node", "parent").alias("m")
     parents = messages.select(F.col("node").alias("known"))
     jump = known.join(parents, F.col("parent") == F.col("known"), "inner").select("node", F.col("parent").alias("to"))
-    jump = cut_lineage(jump)
+    jump = first = cut_lineage(jump)
     leaves = messages.select(F.col("node").alias("leaf")).join(jump.select(F.col("to").alias("leaf")).distinct(), "leaf", "left_anti")
     paths = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance"))
     step, most = 1, messages.count()
@@ -55,6 +55,9 @@ def reply_paths(messages: DataFrame) -> DataFrame:
         paths = cut_lineage(paths.unionByName(more))
         jump = cut_lineage(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
         step *= 2
+    if not jump.isEmpty():  # circles: what leads into one meets no root
+        roots = messages.select("node").join(first, "node", "left_anti")
+        paths = paths.join(paths.join(roots, "node").select("leaf").distinct(), "leaf")
     return paths
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -72,3 +73,38 @@ class _Blocks:
 def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:
     """The field of df's column, nullable, by another name."""
     return T.StructField(name or column, df.schema[column].dataType, True)
+
+
+# Polynomial hashes of stretches of bytes, modulo 2 ** 64
+
+#: The base (odd, so that it has an inverse), and a random odd value for each byte.
+ODD = 0x9E3779B97F4A7C15
+BYTE_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS: dict = {}
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """ODD ** i, or its inverse, modulo 2 ** 64, for i below n."""
+    if len(_POWERS.get(inverse, ())) < n:
+        _POWERS[inverse] = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(max(n, 1 << 16), pow(ODD, -1 if inverse else 1, 1 << 64), np.uint64)])
+    return _POWERS[inverse][:n]
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """s, so that (s[b] - s[a]) * ODD ** -a is a hash of data[a:b] that doesn't depend on a."""
+    return np.r_[np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[data] * powers(len(data)))]
+
+
+def mixed(codes: np.ndarray) -> np.ndarray:
+    """Spreads a hash's bits (splitmix64's finisher)."""
+    codes = (codes ^ (codes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    codes = (codes ^ (codes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return codes ^ (codes >> np.uint64(31))
+
+
+def stretches(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the stretches of data between gaps (booleans; the last must be one)."""
+    edge = np.flatnonzero(np.diff(np.r_[True, gap].astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    sums = prefix_sums(data)
+    return starts, ends, mixed((sums[ends] - sums[starts]) * powers(len(data), inverse=True)[starts])

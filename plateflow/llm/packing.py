@@ -22,17 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import field
+from .common import field, stretches
 
 #: Pieces that are dealt at once, the most ids of one, and the share of padding from which a last block is split into powers of two.
 BLOCK_PIECES, PIECE_IDS, LOOSE = 1024, 512, 1 / 32
 #: Strings whose ids a worker remembers at most, and the longest of them; characters that are handled at once.
 REMEMBERED, REMEMBERED_CHARS, AT_ONCE = 400_000, 48, 3_000_000
-#: A rank above all; a hash table's multiplier (2 ** 32 / golden ratio, odd) and bits; the base of a string's hash.
-NONE, MULTIPLIER, BITS, ODD = 1 << 40, 2654435769, 19, 0x9E3779B97F4A7C15
-BYTE_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: A rank above all; a hash table's multiplier (2 ** 32 / golden ratio, odd) and bits.
+NONE, MULTIPLIER, BITS = 1 << 40, 2654435769, 19
 
-_POWERS: dict = {}
 _TOKENIZERS: dict = {}
 
 
@@ -154,13 +152,9 @@ class WordTokenizer:
         raw = [t.encode() for t in texts]
         data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
         gap = (data == 32) | (data == 10)
-        edge = np.flatnonzero(np.diff(np.r_[True, gap].astype(np.int8)))  # it ends in a gap
-        starts, ends = edge[::2], edge[1::2]
+        starts, ends, codes = stretches(data, gap)
         if not len(starts):
             return [b""] * len(texts)
-        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[data] * powers(len(data)))]
-        codes = (sums[ends] - sums[starts]) * powers(len(data), inverse=True)[starts]
-        codes ^= codes >> np.uint64(32)
         codes, place, which = np.unique(codes, return_index=True, return_inverse=True)
         seen, begin, count, pool = self.seen
         at = np.minimum(np.searchsorted(seen, codes), max(len(seen) - 1, 0))
@@ -199,13 +193,6 @@ class WordTokenizer:
         return out
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """ODD ** i, or its inverse, modulo 2 ** 64, for i below n."""
-    if len(_POWERS.get(inverse, ())) < n:
-        _POWERS[inverse] = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(max(n, 1 << 16), pow(ODD, -1 if inverse else 1, 1 << 64), np.uint64)])
-    return _POWERS[inverse][:n]
-
-
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
     """Deals items to k windows with nearly equal sums; returns each window's items, in their order."""
     none = -1
