@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import field, mixed, per_block, stretches
 
-#: Eight selected tokens each; the zeros may be replaced in a text.
-MASKS = ("11111111", "1110111011", "11011010111", "101101110011", "1001110101101")
+#: The zeros may be replaced in a text. Wherever two of 13 tokens are replaced, one of the first four masks fits between.
+MASKS = ("1111111", "11101111", "11110111", "1110100111", "11101110111")
 #: Tokens of a verified overlap, the share of them that must agree, and of an item that is too short for that (verbatim, whole).
 OVERLAP, AGREE, SHORT = 13, 0.8, 5
 #: Tokens of test items that are broadcast at once, and bits of the table that rules most hashes out.
@@ -117,32 +117,25 @@ class Seeds:
 def overlaps(text: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, int, int]]:
     """Verified overlaps on a diagonal: (start in text, tokens, agreeing tokens).
 
-    An overlap begins and ends with agreeing tokens, has OVERLAP tokens or more, of which AGREE or more agree, and is a
-    stretch of maximal score, where replaced tokens cost as many agreeing ones as AGREE allows for. An item of fewer
-    tokens must agree as a whole.
+    An overlap begins and ends with agreeing tokens, has OVERLAP tokens or more, of which AGREE or more agree, and reaches
+    from the first token that begins one as far as it can. An item of fewer tokens must agree as a whole.
     """
     low, high = max(0, diagonal), min(len(text), len(item) + diagonal)
     same = text[low:high] == item[low - diagonal : high - diagonal]
     if len(item) < OVERLAP:
         return [(low, len(item), len(item))] if len(same) == len(item) and same.all() else []
-    cost = AGREE / (1 - AGREE)
-    out, i, n = [], 0, len(same)
-    while i < n:
-        if not same[i]:
-            i += 1
-            continue
-        score = best = 0.0
-        end = j = i
-        while j < n and score >= 0:
-            score += 1 if same[j] else -cost
-            j += 1
-            if score >= best and same[j - 1]:
-                best, end = score, j
-        if end - i >= OVERLAP:
-            out.append((low + i, end - i, int(same[i:end].sum())))
-            i = end
-        else:  # no stretch that begins before j reaches further than this one
-            i = j
+    if same.sum() < AGREE * OVERLAP:
+        return []
+    # a stretch has enough agreeing tokens if its sum isn't negative, where each counts 1 - AGREE and each other one -AGREE
+    sums = np.r_[0, np.cumsum(np.where(same, 100 - round(100 * AGREE), -round(100 * AGREE)))]
+    best_from = np.maximum.accumulate(sums[::-1])[::-1]  # falls
+    out, i = [], 0
+    for start in np.flatnonzero(same).tolist():
+        if start >= i:
+            end = int(np.searchsorted(-best_from, -sums[start], side="right")) - 1  # the last place that isn't lower
+            if end - start >= OVERLAP:
+                out.append((low + start, end - start, int(same[start:end].sum())))
+                i = end
     return out
 
 

@@ -45,6 +45,15 @@ def test_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in leaks}
 
 
+def test_masks_leave_no_window_out():
+    """Any two replaced tokens of OVERLAP ones leave a place for a mask."""
+    import itertools
+
+    shapes = [[i for i, x in enumerate(m) if x == "1"] for m in D.MASKS]
+    for replaced in itertools.combinations(range(D.OVERLAP), 2):
+        assert any(not {at + i for i in s} & set(replaced) for m, s in zip(D.MASKS, shapes) for at in range(D.OVERLAP - len(m) + 1))
+
+
 def test_slices(spark, monkeypatch):
     items, texts, leaks = made()
     monkeypatch.setattr(D, "SLICE_TOKENS", 20)
