@@ -8,8 +8,8 @@ without unions, in which each element has one place, so a host's wrapper is as l
 Wrappers are made where pages are read, a part of the pages at a time, and merged in two steps, so no host is gathered.
 
 A slot is main text unless it lies in an element that is not part of articles (by its name, role, class or id), outside of
-the host's articles where there are any, or, outside of articles, in a slot that says the same on every page or is mostly
-links on the host as a whole.
+the host's articles where there are any, or, outside of articles, in a slot that is mostly links on the host as a whole; texts
+outside of articles that nearly every page of a host says are of its template.
 """
 
 from __future__ import annotations
@@ -55,8 +55,9 @@ _KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 NEGATED, OWN = frozenset("has have with no not without hide js is".split()), frozenset("post entry article content story title".split())
 ARTICLE = frozenset("article main".split())
 
-#: Elements within each other, at most; deeper ones count to that depth. Pages from which a slot that never changes is of the template, and share of links that makes a slot one.
-DEPTH, PAGES, LINKS = 48, 3, 0.7
+#: Elements within each other, at most; deeper ones count to that depth. Different pages from which a host's template is known, the share of
+#: its pages that say a text of that, counters of a slot's texts, and the share of links that makes a slot one of links.
+DEPTH, PAGES, TEMPLATE, COMMON, LINKS = 48, 3, 0.8, 64, 0.7
 
 _TOKEN = re.compile(
     rf"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -175,18 +176,28 @@ def stream(html: str | None) -> list[tuple[int, str, int]]:
 
 @dataclass
 class Slot:
-    """The texts directly in an element: pages that have any, the text if it was always the same, letters, and those in links."""
+    """The texts directly in an element: how often there were any, letters, those in links, and the texts said most often.
+
+    texts counts by hash, with COMMON counters: where more are needed all are lowered, so counts are never too high, and too
+    low by no more than a COMMONth of the texts.
+    """
 
     pages: int
     same: str | None
     letters: int
     linked: int
+    texts: dict[int, int]
 
     def merge(self, other: Slot) -> None:
         self.pages += other.pages
         self.same = self.same if self.same == other.same else None
         self.letters += other.letters
         self.linked += other.linked
+        for h, n in other.texts.items():
+            self.texts[h] = self.texts.get(h, 0) + n
+        if len(self.texts) > COMMON:
+            less = sorted(self.texts.values(), reverse=True)[COMMON]
+            self.texts = {h: n - less for h, n in self.texts.items() if n > less}
 
 
 @dataclass
@@ -197,9 +208,11 @@ class Element:
     seen: int = 1
     slot: Slot | None = None
     groups: list[Group] = field(default_factory=list)
+    kinds: frozenset[int] = frozenset()  # of the root: hashes of pages, PAGES of them at most
 
     def merge(self, other: Element) -> None:
         self.groups = align(self.groups, other.groups)
+        self.kinds = frozenset(sorted(self.kinds | other.kinds)[:PAGES])
         self.seen += other.seen
         if self.slot and other.slot:
             self.slot.merge(other.slot)
@@ -283,13 +296,18 @@ def wrapper(tokens: list[tuple[int, str, int]]) -> Element:
             e = path.pop()
             fold(path[-1].groups, e)
     done(root, texts[0], links[0])
+    root.kinds = frozenset([hash_text("\n".join(v for k, v, _ in tokens if not k))])
     return root
 
 
 def done(e: Element, texts: list[str], linked: int) -> None:
     if texts:
         said = "\n".join(texts)
-        e.slot = Slot(1, said if len(said) <= 400 else f"{hash_text(said):016x}", sum(map(len, texts)), linked)
+        counts: dict[int, int] = {}
+        for t in texts:
+            h = hash_text(t)
+            counts[h] = counts.get(h, 0) + 1
+        e.slot = Slot(1, said if len(said) <= 400 else f"{hash_text(said):016x}", sum(map(len, texts)), linked, counts)
 
 
 def hash_text(text: str) -> int:
@@ -312,8 +330,8 @@ def expression(e: Element) -> str:
     return f"<{e.label}>{''.join(inside)}</{e.label.partition(':')[0]}>"
 
 
-def main_slots(root: Element) -> set[tuple[str, ...]]:
-    """Paths (labels from the page down) of the slots that hold main text."""
+def main_slots(root: Element) -> dict[tuple[str, ...], frozenset[int]]:
+    """Paths (labels from the page down) of the slots that hold main text, each with hashes of texts that are the host's template."""
     wide: list[tuple[tuple[str, ...], Slot, bool]] = []
 
     def walk(e: Element, path: tuple[str, ...], within: bool):
@@ -328,7 +346,9 @@ def main_slots(root: Element) -> set[tuple[str, ...]]:
                 walk(x, (*path, x.label), within)
 
     walk(root, (), False)
-    return {path for path, slot, within in wide if within or not (slot.pages >= PAGES and slot.same is not None and root.seen >= PAGES) and slot.linked <= LINKS * slot.letters}
+    known = len(root.kinds) >= PAGES
+    template = lambda slot: frozenset(h for h, n in slot.texts.items() if n >= TEMPLATE * root.seen)
+    return {path: frozenset() if within or not known else template(slot) for path, slot, within in wide if within or slot.linked <= LINKS * slot.letters}
 
 
 def silent(name: str, kind: str, within: bool) -> bool:
@@ -338,14 +358,15 @@ def silent(name: str, kind: str, within: bool) -> bool:
     return not within and (name == "header" or kind == "head") and name not in ("html", "body")
 
 
-def extract(tokens: list[tuple[int, str, int]], slots: set[tuple[str, ...]]) -> str:
+def extract(tokens: list[tuple[int, str, int]], slots: dict[tuple[str, ...], frozenset[int]]) -> str:
     """The page's texts in main slots, joined by two line feeds; if the page has articles or a main part, those in them."""
     path: list[str] = []
     found, inner = [], 0
     depth = 0  # of article elements that are open
     for kind, value, _ in tokens:
         if kind == 0:
-            if tuple(path) in slots:
+            template = slots.get(tuple(path))
+            if template is not None and not (template and hash_text(value) in template):
                 found.append((value, depth > 0))
                 inner += depth > 0
         elif kind == 1:
@@ -452,16 +473,15 @@ class _Apply:
                 if raw not in known:
                     if len(known) > 200:
                         known.clear()
-                    known[raw] = {tuple(p.split("\x1f")) if p else () for p in raw.split("\x1e")} if raw is not None else set()
+                    known[raw] = pickle.loads(raw) if raw is not None else {}
                 texts.append(extract(stream(html), known[raw]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=self.schema)
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, slots): the main slots' paths as text, null if there are none."""
+    """(host, slots): main_slots(), pickled."""
     for b in batches:
-        said = [sorted(main_slots(pickle.loads(x))) for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["\x1e".join("\x1f".join(p) for p in s) if s else None for s in said], pa.string())], names=["host", "slots"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pickle.dumps(main_slots(pickle.loads(x))) for x in b.column(2).to_pylist()], pa.binary())], names=["host", "slots"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -470,7 +490,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Blocks are joined by two line feeds in page order; a null or empty page, or one without main text, has an empty text.
     Repeated rows, null ids and null URLs stay; other columns are ignored; an empty table gives an empty result.
     """
-    slots = cut_lineage(wrappers(pages, url_col, html_col).mapInArrow(_slots, "host string, slots string"))
+    slots = cut_lineage(wrappers(pages, url_col, html_col).mapInArrow(_slots, "host string, slots binary"))
     schema = T.StructType([column(pages, id_col), column(pages, url_col), *T.StructType.fromDDL("text string, n_chars long").fields])
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     own = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html"), name.alias("__host"))

@@ -78,7 +78,7 @@ def test_order_of_pages_does_not_change_what_is_kept(spark, sf):
     for a in (trees, again):
         for t in a[1:]:
             a[0].merge(t)
-    assert X.main_slots(trees[0]) == X.main_slots(again[0])
+    assert X.main_slots(trees[0]).keys() == X.main_slots(again[0]).keys()
 
 
 def test_empty(spark):
