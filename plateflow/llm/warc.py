@@ -165,16 +165,21 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     Of records with equal payloads of at least `least` bytes the one with the largest id is a response and the others
     revisit it; smaller ones are all responses. Null texts have an empty payload; null ids are below all others; of equal
-    rows one is the response. pages must give the same rows in the same partitions when it is read again.
+    ids the greatest URL decides, and of rows that are equal in all one is the response.
     """
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid4()}"
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "sha": F.unhex(F.sha1("payload"))})
-    top = F.max(F.struct("id", "row"))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(top.alias("top")).select(F.col("sha").alias("known"), "top")
+    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
+    counted = rows.where(F.octet_length("payload") >= least).groupBy("sha", "id", "url").agg(F.count("*").alias("times"))
+    first = counted.groupBy("sha").agg(F.max(F.struct("id", "url", "times")).alias("top")).select(F.col("sha").alias("known"), "top")
     joined = rows.join(first, F.col("sha") == F.col("known"), "left")
-    revisit = (F.octet_length("payload") >= least) & (F.col("row") != F.col("top.row"))
-    said = joined.select("id", "url", "sha", revisit.alias("revisit"), F.col("top.id").alias("top"), "payload")
+    is_top = F.col("id").eqNullSafe(F.col("top.id")) & F.col("url").eqNullSafe(F.col("top.url"))
+    several = is_top & (F.coalesce(F.col("top.times"), F.lit(0)) > 1)
+    one = lambda revisit: ("id", "url", "sha", revisit.alias("revisit"), F.col("top.id").alias("top"), "payload")
+    said = joined.where(~several).select(*one(F.col("known").isNotNull() & ~is_top))
+    # rows that are the same in all: the first is the response
+    again = joined.where(several).dropDuplicates(["sha"]).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top.times"))))
+    said = said.unionByName(again.select(*one(F.col("n") > 1)))
     return cut_lineage(said.mapInArrow(_Writer(folder, package_bytes), "path string, records long"))
 
 
