@@ -136,20 +136,16 @@ class _Buckets:
             yield from self.rows([self.compared(held)])
 
     def compared(self, fps: np.ndarray) -> np.ndarray:
-        """A spanning forest of the pairs within the radius."""
-        root = list(range(len(fps)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        values, found = fps.view(np.uint64) if fps.dtype == np.int64 else fps.astype(np.int64).view(np.uint64), []
+        """A spanning forest of the pairs within the radius; pairs that are connected already aren't looked at."""
+        values, found = fps.astype(np.int64).view(np.uint64), []
+        label = np.arange(len(values))
         for i in range(len(values) - 1):
-            for j in (np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= self.radius) + i + 1).tolist():
-                if (x := top(i)) != (y := top(j)):
-                    root[y] = x
-                    found.append((0, int(fps[i]), int(fps[j])))
+            rest = label[i + 1 :]
+            near = np.flatnonzero((np.bitwise_count(values[i + 1 :] ^ values[i]) <= self.radius) & (rest != label[i]))
+            if near.size:
+                others, first = np.unique(rest[near], return_index=True)
+                found += [(0, int(fps[i]), int(fps[i + 1 + j])) for j in near[first].tolist()]
+                label[np.isin(label, others)] = label[i]
         return np.array(found, np.int64).reshape(-1, 3).T
 
     @staticmethod
