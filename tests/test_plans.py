@@ -262,3 +262,13 @@ def test_driver_contract():
 
     entry = importlib.import_module("__spark_entry__")
     assert set(SQL) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_command_line(spark, folder, tmp_path):
+    from plateflow.__main__ import arguments, main, page_numbers
+
+    assert page_numbers("1,3,5-8, x,9-7,2") == (1, 3, 5, 6, 7, 8, 2)
+    a = arguments(["in", "out", "--tac", "newsprint", "--proofs", "72,native"])
+    assert (a.tac, a.proofs) == (240.0, (72, "native"))
+    assert main([str(folder / "d.pdf"), f"file://{tmp_path}", "--format", "pdf/x-4", "--split"]) == 0
+    assert sorted(p.name for p in (tmp_path / "d").iterdir() if not p.name.startswith(".")) == ["page_1.pdf", "page_2.pdf", "page_3.pdf"]
