@@ -9,7 +9,8 @@ next to each other that share one make a stretch. Stretches meet by their anchor
 - the distinct stretches that share an anchor's hash go to one bucket. There a batch of windows gets a suffix array
   (suffixes in byte order, as far as `length` goes); suffix arrays of equal size are merged, geometrically, and the scan
   of each merge finds the matches that are long enough;
-- a hash with more than CROWD distinct stretches isn't gathered: the windows' own hashes are counted instead.
+- a hash with more than CROWD distinct stretches isn't gathered: hashes of pieces of them, and at the edges of repeated
+  passages of single windows, are counted instead.
 
 Texts are written once, in shards, to the shared folder, and each later step reads a shard where it needs it; shuffles
 hold hashes, positions and the bytes of stretches that are yet to be compared.
@@ -32,8 +33,8 @@ from .common import field, mixed, powers, prefix_sums, shared_dir
 
 #: Bytes of an anchor, of a shard, and positions that are handled at once (2 ** PLACE_BITS at most).
 ANCHOR, SHARD_BYTES, PLACE_BITS = 16, 8_000_000, 20
-#: Stretches of one anchor's hash that are compared in one place; windows of a batch and, about, of a bucket.
-CROWD, BATCH, BUCKET_WINDOWS = 2000, 1 << 15, 400_000
+#: Stretches of one anchor's hash that are compared in one place, windows of a piece of others; windows of a batch and, about, of a bucket.
+CROWD, PIECE, BATCH, BUCKET_WINDOWS = 2000, 16, 1 << 15, 150_000
 
 
 # Suffix arrays
@@ -114,11 +115,6 @@ def stretches_of(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tu
         yield codes[anchor[new]].view(np.int64), content.view(np.int64), new + low, stop - new
 
 
-def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    sums = prefix_sums(data)
-    return mixed((sums[length:] - sums[:-length]) * powers(len(data) - length + 1, inverse=True))
-
-
 # Steps over DataFrames
 
 
@@ -239,17 +235,54 @@ class _Compare:
         yield from _ranges(shard, g, family.finish()[starts], owner, offset)
 
 
-def _names(length: int):
+def _pieces(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(k, name, shard, g): every window's own hash and start."""
+        """(k, o, core, whole, shard, g, names): runs of up to PIECE windows whose places before the anchor have o in common.
+
+        core: a hash of what all windows of that place share, so windows of pieces with different cores differ; whole: a hash
+        of all their bytes; names: each window's hash.
+        """
         for batch in batches:
+            out: list[list] = [[], [], [], [], [], [], []]
             for k, shard, g, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                names = window_hashes(np.frombuffer(raw, np.uint8), length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(names), pa.array(np.full(n, shard)), pa.array(np.arange(g, g + n))], names=["k", "name", "shard", "g"])
+                data = np.frombuffer(raw, np.uint8)
+                sums, back = prefix_sums(data), powers(len(data) + 1, inverse=True)
+                code = lambda x, y: mixed((sums[y] - sums[x]) * back[x]).view(np.int64)  # noqa: B023, E731
+                grams = np.arange(len(data) - ANCHOR + 1)
+                anchor = int(np.argmax(code(grams, grams + ANCHOR) == k))
+                names = code(np.arange(n), np.arange(n) + length)
+                place = (np.arange(n) - anchor) // PIECE
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                last = np.r_[first[1:], n] - 1
+                low = place[first] * PIECE + anchor
+                cores = code(low + PIECE - 1, low + length)
+                wholes = code(first, last + length)
+                for column, x in zip(out, ([k] * len(first), place[first].tolist(), cores.tolist(), wholes.tolist(), [shard] * len(first), (g + first).tolist(), [names[i : j + 1].tolist() for i, j in zip(first.tolist(), last.tolist())])):
+                    column += x
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k", "o", "core", "whole", "shard", "g", "names"])
 
     return rows
 
 
+def _crowded(named: DataFrame, length: int, folder: str) -> DataFrame:
+    """(shard, g, n) of windows that occur elsewhere, for anchors with too many stretches to gather: by counts of hashes alone.
+
+    Pieces that are equal as a whole are repeated as a whole, and one stands for all. Of these, those that no other one
+    shares its core with are done with; what is left, at the edges of repeated passages, is counted window by window.
+    """
+    pieces = _kept(named.mapInArrow(_pieces(length), "k long, o long, core long, whole long, shard long, g long, names array<long>"), f"{folder}/pieces")
+    same = ["k", "o", "whole", "n"]
+    pieces = pieces.withColumn("n", F.size("names").cast("long"))
+    equal = _kept(pieces.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("shard", "g", "core", "names")).alias("one")), f"{folder}/equal")
+    repeated = pieces.select(*same, "shard", "g").join(equal.where("times > 1").select(*same), same).select("shard", "g", "n")
+    single = equal.select("k", "o", "one.*")
+    cores = _kept(single.groupBy("k", "o", "core").agg(F.count("*").alias("times")).where("times > 1").drop("times"), f"{folder}/cores")
+    alone = single.join(cores, ["k", "o", "core"]).select("k", "shard", "g", F.posexplode("names").alias("i", "name"))
+    twice = _kept(alone.groupBy("k", "name").agg(F.count("*").alias("times")).where("times > 1").drop("times"), f"{folder}/twice")
+    return repeated.unionByName(alone.join(twice, ["k", "name"]).select("shard", (F.col("g") + F.col("i")).alias("g"), F.lit(1).cast("long").alias("n")))
+
+
 def _cut(length: int, id_type: pa.DataType):
     def rows(shard: int, found: pa.Table, ids: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         """(id, text, n_bytes, spans, kept) of a shard's documents; found: runs of windows to cut."""
@@ -291,11 +324,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _make(shards)
     found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_Shards(shards, length), "shard long, k long, c long, g long, n long")
     found = _kept(found, f"{folder}/stretches")
-    often = found.where("n > 0").groupBy("k").agg(F.count("*").alias("times")).where("times > 1").select("k")
+    # counts are written before they are joined, so that a join can split a hash with very many rows
+    often = _kept(found.where("n > 0").groupBy("k").agg(F.count("*").alias("times")).where("times > 1").select("k"), f"{folder}/often")
     shared = _kept(found.where("n > 0").join(often, "k"), f"{folder}/shared")
     classes = shared.groupBy("k", "c").agg(F.count("*").alias("times"), F.min(F.struct("shard", "g", "n")).alias("one"))
     classes = _kept(classes, f"{folder}/classes")
-    several = classes.groupBy("k").agg(F.count("*").alias("classes")).where("classes > 1")
+    several = _kept(classes.groupBy("k").agg(F.count("*").alias("classes")).where("classes > 1"), f"{folder}/several")
     open_ones = classes.join(several, "k").select("one.shard", "one.g", "one.n", "k", (F.col("classes") > crowd).alias("crowded"))
     named = _by_shard(open_ones, shards, _bytes_of(length), "k long, shard long, g long, n long, crowded boolean, bytes binary")
     named = _kept(named, f"{folder}/bytes")
@@ -303,9 +337,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = max(1, -(-windows // BUCKET_WINDOWS))
     columns = ["k", "shard", "g", "n", "bytes"]
     compared = named.where("not crowded").select(*columns).repartition(buckets, "k").mapInArrow(_Compare(length), "shard long, g long, n long")
-    crowded = named.where("crowded").select(*columns).mapInArrow(_names(length), "k long, name long, shard long, g long")
-    twice = crowded.groupBy("k", "name").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    counted = crowded.join(twice, ["k", "name"]).select("shard", "g", F.lit(1).cast("long").alias("n"))
+    counted = _crowded(named.where("crowded").select(*columns), length, folder)
     whole = shared.join(classes.where("times > 1").select("k", "c"), ["k", "c"]).select("shard", "g", "n")
     every = found.where("n = 0").select("shard", "g", "n")
     schema = T.StructType([field(df, id_col, "id"), *T.StructType.fromDDL("n_bytes long, spans array<struct<start: long, end: long>>, kept binary").fields])
