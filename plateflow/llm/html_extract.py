@@ -58,6 +58,8 @@ ARTICLE = frozenset("article main".split())
 #: Elements within each other, at most; deeper ones count to that depth. Different pages from which a host's template is known, the share of
 #: its pages that say a text of that, counters of a slot's texts, and the share of links that makes a slot one of links.
 DEPTH, PAGES, TEMPLATE, COMMON, LINKS = 48, 3, 0.8, 64, 0.7
+#: Parts that the pages of one host are dealt in when its wrapper is applied.
+SALTS = 32
 
 _TOKEN = re.compile(
     rf"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -493,6 +495,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     slots = cut_lineage(wrappers(pages, url_col, html_col).mapInArrow(_slots, "host string, slots binary"))
     schema = T.StructType([column(pages, id_col), column(pages, url_col), *T.StructType.fromDDL("text string, n_chars long").fields])
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    own = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html"), name.alias("__host"))
-    joined = own.join(slots, own["__host"] == slots["host"], "left")
+    # a host's pages are dealt over SALTS tasks, each with the host's slots
+    salt = F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(SALTS)).cast("int")
+    own = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html"), name.alias("__host"), salt.alias("__salt"))
+    slots = slots.select("host", "slots", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = own.join(slots, (own["__host"] == slots["host"]) & (own["__salt"] == slots["salt"]), "left")
     return joined.select(F.col(id_col), F.col(url_col), "__html", "slots").mapInArrow(_Apply(schema), schema)
