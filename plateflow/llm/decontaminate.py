@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from .common import field, mixed, per_block, stretches
 
-#: The zeros may be replaced in a text. Wherever two of 13 tokens are replaced, one of the first four masks fits between.
-MASKS = ("1111111", "11101111", "11110111", "1110100111", "11101110111")
+#: The zeros may be replaced in a text. Any 13 to 25 tokens of which AGREE or more agree hold a place where one of the masks
+#: fits; a longer stretch splits into such lengths, one of which has that share too, so no overlap is without a seed.
+MASKS = ("1111111", "11101111", "11110111", "1110100111", "1101001000111", "111100010011", "10100110111")
 #: Tokens of a verified overlap, the share of them that must agree, and of an item that is too short for that (verbatim, whole).
 OVERLAP, AGREE, SHORT = 13, 0.8, 5
 #: Tokens of test items that are broadcast at once, and bits of the table that rules most hashes out.

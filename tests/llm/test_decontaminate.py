@@ -54,6 +54,37 @@ def test_masks_leave_no_window_out():
         assert any(not {at + i for i in s} & set(replaced) for m, s in zip(D.MASKS, shapes) for at in range(D.OVERLAP - len(m) + 1))
 
 
+def replaced_at_most(size):
+    """All stretches of so many tokens with as many replaced as AGREE lets, as bits."""
+    import itertools
+
+    return [(1 << size) - 1 - sum(1 << i for i in places) for places in itertools.combinations(range(size), size // 5)]
+
+
+def test_masks_reach_the_share_that_must_agree():
+    """Lengths of OVERLAP to 2 * OVERLAP - 1 add up to any longer one, so these settle all."""
+    assert D.AGREE == 0.8
+    masks = [int(m, 2) for m in D.MASKS]
+    for size in range(D.OVERLAP, 2 * D.OVERLAP):
+        for x in replaced_at_most(size):
+            assert any(x >> at & m == m for m in masks for at in range(size - m.bit_length() + 1)), f"{x:b}"
+
+
+def test_brute_force_at_the_share_that_must_agree():
+    """Passages of 15 to 18 tokens with 3 replaced, wherever these are, and long ones with a fifth replaced."""
+    rng = random.Random(5)
+    patterns = [(size, x) for size in range(15, 19) for x in replaced_at_most(size)]
+    patterns += [(30, x) for x in (0b110110110111111110110110111111, 0b111011101110111111011101110111, 0b110111011011111110111011011111)]
+    items, texts = [], []
+    for k, (size, x) in enumerate(patterns):
+        words = [f"w{k}x{i}" for i in range(size)]
+        items.append(" ".join(words))
+        texts.append(" ".join(["before", *(w if x >> i & 1 else f"other{rng.randrange(10**9)}" for i, w in enumerate(words)), "after"]))
+    want = {k for k, (t, x) in enumerate(zip(texts, items)) if D.brute_force(t, x)}
+    got = {(t, i) for t, i, _ in D.find(texts, D.Seeds.of(list(range(len(items))), items))}
+    assert got == {(k, k) for k in want} and len(want) > 1500
+
+
 def test_slices(spark, monkeypatch):
     items, texts, leaks = made()
     monkeypatch.setattr(D, "SLICE_TOKENS", 20)
