@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .common import cut_lineage, field, per_block
 from .components import connected_components
+from .shingle_links import codes, similar
 
 BITS, SEED = 64, 42
 #: Fingerprints that are compared with each other in one place.
@@ -158,10 +159,11 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _labelled(marks: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, least): every fingerprint of marks (id, fp), its component, and the least id of that."""
+def _labelled(marks: DataFrame, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root, least): every fingerprint of marks (id, fp), its component by links and more (a, b), and the least id of that."""
     fps = cut_lineage(marks.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(links(fps.select("fp"), radius))
+    found = links(fps.select("fp"), radius)
+    roots = connected_components(found.unionByName(more) if more is not None else found)
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     rooted = cut_lineage(rooted)
     return rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root")
@@ -179,14 +181,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marks.join(labels, "fp").select(F.col("id").alias(id_col), hexadecimal(F.col("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
+def _similar(df: DataFrame, marks: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) between fingerprints of texts whose shingles have a Jaccard similarity of least or more; marks has the sets' codes (own)."""
+    pairs = marks.select("own", "fp").distinct()
+    low = cut_lineage(pairs.groupBy("own").agg(F.min("fp").alias("low")))
+    alike = pairs.join(low, "own").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    a, b = (low.select(F.col("own").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab")
+    found = similar(df, text_col, shingle, least).join(a, "a").join(b, "b").where("low_a <> low_b")
+    return alike.unionByName(found.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, least: float | None = None) -> DataFrame:
     """df's rows, one of each component: that of the least id, and of these that of the least fingerprint.
 
-    All columns stay. Repeated rows of that id and fingerprint become one.
+    With least, texts whose distinct shingles have that Jaccard similarity or more are linked too, whatever their
+    fingerprints. All columns stay. Repeated rows of that id and fingerprint become one.
     """
-    marks = cut_lineage(fingerprints(df, id_col, text_col, shingle))
+    if least is None:
+        marks, more = cut_lineage(fingerprints(df, id_col, text_col, shingle)), None
+    else:
+
+        def block(columns):
+            return [columns[0], np.array([simhash(t, shingle) for t in columns[1]], np.uint64).view(np.int64), codes(columns[1], shingle)]
+
+        fields = [field(df, id_col, "id"), T.StructField("fp", T.LongType()), T.StructField("own", T.LongType())]
+        marks = cut_lineage(per_block(df, {"id": f"`{id_col}`", "text": f"`{text_col}`"}, block, T.StructType(fields)))
+        more = _similar(df, marks, text_col, shingle, least)
     own = marks.groupBy("id", "fp").agg(F.count("*").alias("times"))
-    kept = own.join(_labelled(marks, radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "times")).alias("k")).select("k.id", "k.fp", "k.times")
+    kept = own.join(_labelled(marks, radius, more), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "times")).alias("k")).select("k.id", "k.fp", "k.times")
     kept = kept.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("times").alias("__times"))
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -103,3 +103,40 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(n + 1)) and all(found[i] == 4000 for i in (*range(4000, 4200), 5000))
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def jaccard(x, y, shingle=5):
+    a, b = ({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if (w := S.WORD.findall(t.translate(S.LOWER))) else set() for t in (x, y))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_keep_one_links_whatever_is_similar(spark):
+    """Texts at a Jaccard similarity of 0.8 or more are linked however many bits their fingerprints differ in."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for k in range(30):
+        base = [word() for _ in range(rng.randrange(30, 300))]
+        for _ in range(4):
+            other = list(base)
+            for _ in range(rng.randrange(1, 2 + len(base) // 25)):
+                other[rng.randrange(len(other))] = word()
+            texts.append(" ".join(other))
+    texts += ["a b", "A  b", "", "c", "one two three four five"]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    far = 0
+    for i, x in enumerate(texts):
+        for j in range(i):
+            bits = (S.simhash(x, 5) ^ S.simhash(texts[j], 5)).bit_count()
+            near = jaccard(x, texts[j]) >= 0.8
+            far += near and bits > 3
+            if near or bits <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    kept = S.keep_one(documents(spark, texts).repartition(3), least=0.8)
+    assert far > 10 and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if find(i) == i]
+    assert S.keep_one(documents(spark, texts).where("false"), least=0.8).collect() == []
