@@ -18,6 +18,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -37,6 +38,8 @@ BLOCKS = frozenset(
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends an open element of the second kind, up to an element of the third.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: Elements of tables that other closing tags don't reach out of, and those whose closing tags do.
+CELLS, IN_TABLES = ("td", "th", "table"), frozenset("table tr tbody thead tfoot td th body html".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"})}
 
 #: Words in a class, id or role that tell what an element is; `header` and `banner` tell it outside of articles alone.
@@ -55,7 +58,8 @@ _KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 NEGATED, OWN = frozenset("has have with no not without hide js is".split()), frozenset("post entry article content story title".split())
 ARTICLE = frozenset("article main".split())
 
-#: Elements within each other, at most; deeper ones count to that depth. Different pages from which a host's template is known, the share of
+#: Elements within each other that a wrapper holds, at most; of deeper ones only those that begin an article, or that are of
+#: none, are noted, once each, and the texts of all others count to that depth. Different pages from which a host's template is known, the share of
 #: its pages that say a text of that, counters of a slot's texts, and the share of links that makes a slot one of links.
 DEPTH, PAGES, TEMPLATE, COMMON, LINKS = 48, 3, 0.8, 64, 0.7
 #: Parts that the pages of one host are dealt in when its wrapper is applied.
@@ -100,11 +104,15 @@ def label(name: str, attributes: str) -> str:
 def stream(html: str | None) -> list[tuple[int, str, int]]:
     """The page's tokens: (1, label, 0) opens a block element, (-1, label, 0) closes it, (0, text, letters in links) is a text.
 
-    References are decoded, white space is one space, and no text is empty. Closing tags that nothing opened are ignored,
+    References are decoded, white space is one space, and no text is empty. Below DEPTH elements, one opens only if it is the
+    first there to begin an article or to be of none; all are closed by their own tags. Closing tags that nothing opened are ignored,
     and what is left open is closed where its parent is, or where the standard implies it.
     """
     out: list[tuple[int, str, int]] = []
-    stack: list[str] = []  # labels
+    names: list[str] = []  # of all open elements
+    labels: list[str | None] = []  # theirs, or nothing for one that isn't noted
+    places: dict[str, list[int]] = {}  # of the open elements of each name
+    noted = [(False, False)]  # of each open element that is noted: whether it lies in an article, and in an element of none
     held: list[str] = []
     link = linked = 0
 
@@ -118,8 +126,14 @@ def stream(html: str | None) -> list[tuple[int, str, int]]:
         linked = 0
 
     def close_to(depth: int):
-        while len(stack) > depth:
-            out.append((-1, stack.pop(), 0))
+        while len(names) > depth:
+            places[names.pop()].pop()
+            if (tag := labels.pop()) is not None:
+                noted.pop()
+                out.append((-1, tag, 0))
+
+    def last(of) -> int:
+        return max((places[n][-1] for n in of if places.get(n)), default=-1)
 
     for m in _TOKEN.finditer(html or ""):
         if (text := m["text"]) is not None:
@@ -143,30 +157,29 @@ def stream(html: str | None) -> list[tuple[int, str, int]]:
         flush()
         link = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].partition(":")[0] == name:
-                    close_to(i)
-                    break
-                if name == "p" and stack[i].partition(":")[0] != "p" or stack[i].partition(":")[0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+            i = last((name,))
+            if i >= 0 and (i == len(names) - 1 or name != "p" and (name in IN_TABLES or i > last(CELLS))):
+                close_to(i)
             continue
-        if name in ENDS_P and stack and stack[-1].partition(":")[0] == "p":
-            close_to(len(stack) - 1)
+        if name in ENDS_P and names and names[-1] == "p":
+            close_to(len(names) - 1)
         if name in IMPLIED:
             ends, within = IMPLIED[name]
-            for i in range(len(stack) - 1, -1, -1):
-                open_name = stack[i].partition(":")[0]
-                if open_name in within:
+            while (i := last(ends)) > last(within):
+                close_to(i)
+                if name not in ("tr", "tbody"):
                     break
-                if open_name in ends:
-                    close_to(i)
-                    if name not in ("tr", "tbody"):
-                        break
-        if name in EMPTY or name in ("html", "body") and name in stack:
+        if name in EMPTY or name in ("html", "body") and any(labels[i] == name for i in places.get(name, ())):
             continue
         tag = label(name, m["attrs"] if m["name"] else m["attrs2"])
-        if len(stack) < DEPTH:
-            stack.append(tag)
+        state = inside(tag, *noted[-1])
+        places.setdefault(name, []).append(len(names))
+        names.append(name)
+        if len(noted) > DEPTH and (noted[-1][1] or state == noted[-1]):
+            labels.append(None)
+        else:
+            labels.append(tag)
+            noted.append(state)
             out.append((1, tag, 0))
     flush()
     close_to(0)
@@ -379,6 +392,14 @@ def extract(tokens: list[tuple[int, str, int]], slots: dict[tuple[str, ...], fro
     return "\n\n".join(t for t, within in found if within or not inner)
 
 
+@lru_cache(1 << 14)
+def inside(tag: str, within: bool, dead: bool) -> tuple[bool, bool]:
+    """Whether what is in an element lies in an article, and in an element of none, by the same of where the element lies."""
+    name, _, kind = tag.partition(":")
+    own = name in ARTICLE or kind == "main"
+    return within or own, dead or silent(name, kind, within and not own)
+
+
 def is_article(tag: str) -> bool:
     name, _, kind = tag.partition(":")
     return (name in ARTICLE or kind == "main") and kind not in ("advert", "comments", "hidden")

@@ -83,3 +83,20 @@ def test_order_of_pages_does_not_change_what_is_kept(spark, sf):
 
 def test_empty(spark):
     assert X.main_text(spark.createDataFrame([], PAGES)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div><article>" + "<div>" * 60 + "deep" + "</div>" * 60 + "<p>rest</p></article></div></body>", "deep\n\nrest"),
+        ("<body><p>a</p><div class=comments>" + "<div>" * 60 + "deep" + "</div>" * 60 + "<p>thread</p></div><p>b</p></body>", "a\n\nb"),
+        ("<div>" * 60 + "one<nav><div>menu</div></nav>two" + "</div>" * 60, "one\n\ntwo"),
+        ("<div>" * 60 + "out<article><header>own</header><div>in<nav>menu</nav></div></article>out" + "</div>" * 60, "own\n\nin"),
+        ("<table><tr><td>" + "<div>" * 60 + "x</section></div><td>y<tr><td>z</table>end", "x\n\ny\n\nz\n\nend"),
+        ("<div>" * 60 + "<nav>" * 3000 + "menu" + "</nav>" * 3000 + "text" + "</section>" * 3000, "text"),
+    ],
+)
+def test_below_the_depth_of_wrappers(page, text):
+    """Deep elements are closed by their own tags, and what they are still counts."""
+    tokens = X.stream(page)
+    assert X.extract(tokens, X.main_slots(X.wrapper(tokens))) == text
