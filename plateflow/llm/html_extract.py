@@ -9,7 +9,7 @@ Wrappers are made where pages are read, a part of the pages at a time, and merge
 
 A slot is main text unless it lies in an element that is not part of articles (by its name, role, class or id), outside of
 the host's articles where there are any, or, outside of articles, in a slot that is mostly links on the host as a whole; texts
-outside of articles that nearly every page of a host says are of its template.
+outside of articles that nearly every page of a host says are of its template; these are counted exactly, over all pages.
 """
 
 from __future__ import annotations
@@ -60,8 +60,8 @@ ARTICLE = frozenset("article main".split())
 
 #: Elements within each other that a wrapper holds, at most; of deeper ones only those that begin an article, or that are of
 #: none, are noted, once each, and the texts of all others count to that depth. Different pages from which a host's template is known, the share of
-#: its pages that say a text of that, counters of a slot's texts, and the share of links that makes a slot one of links.
-DEPTH, PAGES, TEMPLATE, COMMON, LINKS = 48, 3, 0.8, 64, 0.7
+#: its pages that say a text of that, and the share of links that makes a slot one of links.
+DEPTH, PAGES, TEMPLATE, LINKS = 48, 3, 0.8, 0.7
 #: Parts that the pages of one host are dealt in when its wrapper is applied.
 SALTS = 32
 
@@ -191,28 +191,18 @@ def stream(html: str | None) -> list[tuple[int, str, int]]:
 
 @dataclass
 class Slot:
-    """The texts directly in an element: how often there were any, letters, those in links, and the texts said most often.
-
-    texts counts by hash, with COMMON counters: where more are needed all are lowered, so counts are never too high, and too
-    low by no more than a COMMONth of the texts.
-    """
+    """The texts directly in an element: how often there were any, the text if it was always the same, letters, and those in links."""
 
     pages: int
     same: str | None
     letters: int
     linked: int
-    texts: dict[int, int]
 
     def merge(self, other: Slot) -> None:
         self.pages += other.pages
         self.same = self.same if self.same == other.same else None
         self.letters += other.letters
         self.linked += other.linked
-        for h, n in other.texts.items():
-            self.texts[h] = self.texts.get(h, 0) + n
-        if len(self.texts) > COMMON:
-            less = sorted(self.texts.values(), reverse=True)[COMMON]
-            self.texts = {h: n - less for h, n in self.texts.items() if n > less}
 
 
 @dataclass
@@ -318,11 +308,7 @@ def wrapper(tokens: list[tuple[int, str, int]]) -> Element:
 def done(e: Element, texts: list[str], linked: int) -> None:
     if texts:
         said = "\n".join(texts)
-        counts: dict[int, int] = {}
-        for t in texts:
-            h = hash_text(t)
-            counts[h] = counts.get(h, 0) + 1
-        e.slot = Slot(1, said if len(said) <= 400 else f"{hash_text(said):016x}", sum(map(len, texts)), linked, counts)
+        e.slot = Slot(1, said if len(said) <= 400 else f"{hash_text(said):016x}", sum(map(len, texts)), linked)
 
 
 def hash_text(text: str) -> int:
@@ -345,8 +331,32 @@ def expression(e: Element) -> str:
     return f"<{e.label}>{''.join(inside)}</{e.label.partition(':')[0]}>"
 
 
-def main_slots(root: Element) -> dict[tuple[str, ...], frozenset[int]]:
-    """Paths (labels from the page down) of the slots that hold main text, each with hashes of texts that are the host's template."""
+def place_of(path: tuple[str, ...]) -> int:
+    """A slot's path as a signed hash."""
+    return hash_text("\0".join(path)) - (1 << 63)
+
+
+def outside(tokens: list[tuple[int, str, int]]) -> set[tuple[tuple[str, ...], str]]:
+    """(path, text) of a page's texts that lie outside of articles, and in no element of none: each once."""
+    path: list[str] = []
+    states, found = [(False, False)], set()
+    for kind, value, _ in tokens:
+        if kind == 1:
+            path.append(value)
+            states.append(inside(value, *states[-1]))
+        elif kind == -1:
+            path.pop()
+            states.pop()
+        elif states[-1] == (False, False):
+            found.add((tuple(path), value))
+    return found
+
+
+def main_slots(root: Element, said: dict[int, set[int]] | None = None) -> dict[tuple[str, ...], frozenset[int]]:
+    """Paths (labels from the page down) of the slots that hold main text, each with hashes of texts that are the host's template.
+
+    said: by place_of(), the texts that a share of TEMPLATE of the host's pages say outside of articles.
+    """
     wide: list[tuple[tuple[str, ...], Slot, bool]] = []
 
     def walk(e: Element, path: tuple[str, ...], within: bool):
@@ -362,8 +372,7 @@ def main_slots(root: Element) -> dict[tuple[str, ...], frozenset[int]]:
 
     walk(root, (), False)
     known = len(root.kinds) >= PAGES
-    template = lambda slot: frozenset(h for h, n in slot.texts.items() if n >= TEMPLATE * root.seen)
-    return {path: frozenset() if within or not known else template(slot) for path, slot, within in wide if within or slot.linked <= LINKS * slot.letters}
+    return {path: frozenset() if within or not known else frozenset((said or {}).get(place_of(path), ())) for path, slot, within in wide if within or slot.linked <= LINKS * slot.letters}
 
 
 def silent(name: str, kind: str, within: bool) -> bool:
@@ -480,6 +489,46 @@ def expressions(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return wrappers(pages, url_col, html_col).mapInArrow(show, "host string, pages long, expression string")
 
 
+class _Count:
+    """Reads (url, html); gives (host, place, said, pages): how many pages of some say a text outside of articles."""
+
+    ROWS = 100_000
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, int], int] = {}
+        places: dict[tuple[str, ...], int] = {}
+        for batch in batches:
+            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = host(url)
+                for path, text in outside(stream(html)):
+                    if path not in places:
+                        if len(places) > self.ROWS:
+                            places.clear()
+                        places[path] = place_of(path)
+                    key = name, places[path], hash_text(text) - (1 << 63)
+                    held[key] = held.get(key, 0) + 1
+                if len(held) > self.ROWS:
+                    yield self.rows(held)
+                    held = {}
+        yield self.rows(held)
+
+    @staticmethod
+    def rows(held: dict[tuple[str, int, int], int]) -> pa.RecordBatch:
+        columns = [*(pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))), pa.array(held.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "place", "said", "pages"])
+
+
+def templates(pages: DataFrame, known: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, places, said): the texts that a share of TEMPLATE or more of a host's pages say outside of articles, counted over all pages.
+
+    known: (host, pages). Counts are summed before they are shuffled, by host, place and text.
+    """
+    counts = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_Count(), "host string, place long, said long, pages long")
+    counts = counts.groupBy("host", "place", "said").agg(F.sum("pages").alias("n"))
+    often = counts.join(known.where(F.col("pages") >= PAGES), "host").where(F.col("n") >= TEMPLATE * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list(F.struct("place", "said")).alias("often")).select("host", F.col("often.place").alias("places"), F.col("often.said").alias("said"))
+
+
 class _Apply:
     """Reads (id, url, html, wrapper); gives (id, url, text, n_chars)."""
 
@@ -502,9 +551,15 @@ class _Apply:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, slots): main_slots(), pickled."""
+    """Reads (host, wrapper, places, said); gives (host, slots): main_slots(), pickled."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pickle.dumps(main_slots(pickle.loads(x))) for x in b.column(2).to_pylist()], pa.binary())], names=["host", "slots"])
+        slots = []
+        for raw, places, said in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            of: dict[int, set[int]] = {}
+            for p, h in zip(places or (), said or ()):
+                of.setdefault(p, set()).add(h + (1 << 63))
+            slots.append(pickle.dumps(main_slots(pickle.loads(raw), of)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slots, pa.binary())], names=["host", "slots"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -513,7 +568,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Blocks are joined by two line feeds in page order; a null or empty page, or one without main text, has an empty text.
     Repeated rows, null ids and null URLs stay; other columns are ignored; an empty table gives an empty result.
     """
-    slots = cut_lineage(wrappers(pages, url_col, html_col).mapInArrow(_slots, "host string, slots binary"))
+    whole = cut_lineage(wrappers(pages, url_col, html_col))
+    whole = whole.join(templates(pages, whole.select("host", "pages"), url_col, html_col), "host", "left")
+    slots = cut_lineage(whole.select("host", "wrapper", "places", "said").mapInArrow(_slots, "host string, slots binary"))
     schema = T.StructType([column(pages, id_col), column(pages, url_col), *T.StructType.fromDDL("text string, n_chars long").fields])
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     # a host's pages are dealt over SALTS tasks, each with the host's slots

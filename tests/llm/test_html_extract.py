@@ -100,3 +100,16 @@ def test_below_the_depth_of_wrappers(page, text):
     """Deep elements are closed by their own tags, and what they are still counts."""
     tokens = X.stream(page)
     assert X.extract(tokens, X.main_slots(X.wrapper(tokens))) == text
+
+
+def test_template_texts_go_among_many_others(spark):
+    """What stands on four of five pages is template however many texts its slot has; what stands on fewer isn't, however often."""
+    notices = ["Call us from nine to five", "Free delivery from ten"]
+
+    def page(i):
+        own = [f"Paragraph {j} of story {i}." for j in range(100)]
+        return own, "<body><div>" + "".join(f"<p>{t}</p>" for t in [notices[0], *own, *([notices[1]] if i % 5 else ["Seldom said", "Seldom said"] * 5)]) + "</div></body>"
+
+    rows = [(i, f"http://h/{i}", page(i)[1]) for i in range(40)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in X.main_text(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    assert all(got[i] == page(i)[0] + ([] if i % 5 else ["Seldom said"] * 10) for i in range(40))
