@@ -1,11 +1,12 @@
 """Packing of tokenised documents into sequences by multiway Karmarkar-Karp differencing.
 
-A document's ids (and an end id) are cut at the sequence length; whole sequences stand alone. What remains is cut into
-pieces of a bounded size and dealt, a block of pieces at a time, to so many windows as their sum needs: each piece
-begins as a partial partition with one filled window; the two partial partitions with the largest imbalance are merged,
+A document's ids (and an end id) are cut at the sequence length; whole sequences stand alone. What remains is one piece,
+and pieces are dealt, a block of them at a time, to so many windows as their sum needs: each piece begins as a partial partition with one filled window; the two partial partitions with the largest imbalance are merged,
 the fuller windows of one onto the emptier windows of the other, until one is left, whose windows are nearly equal. If
-one exceeds the capacity, the number of windows rises by one and the block is dealt again. Blocks are bounded and made
-where the documents are read, so nothing is shuffled; each partition leaves at most one block that isn't full.
+one exceeds the capacity, the number of windows rises by one and the block is dealt again. Then the emptiest windows are
+taken apart to fill the others up, which are nearly full; less than a window is left over, and goes into the next block.
+Blocks are bounded and made where the documents are read, so nothing is shuffled; what is left over at a partition's end
+makes sequences of lengths that are powers of two, so no sequence is padded, however the documents are dealt.
 """
 
 from __future__ import annotations
@@ -22,24 +23,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import field, stretches
+from .common import equal_stretches, field, release, remembered, sliced, stretches
 
-#: Pieces that are dealt at once, the most ids of one, and the share of padding from which a last block is split into powers of two.
-BLOCK_PIECES, PIECE_IDS, LOOSE = 1024, 512, 1 / 32
-#: Strings whose ids a worker remembers at most, and the longest of them; characters that are handled at once.
-REMEMBERED, REMEMBERED_CHARS, AT_ONCE = 400_000, 48, 3_000_000
+#: Pieces that are dealt at once.
+BLOCK_PIECES = 256
+#: Strings whose ids a worker remembers at most, and the longest of them; rows of output at once.
+REMEMBERED, REMEMBERED_CHARS, ROWS = 100_000, 48, 4096
 #: A rank above all; a hash table's multiplier (2 ** 32 / golden ratio, odd) and bits.
 NONE, MULTIPLIER, BITS = 1 << 40, 2654435769, 19
 
-_TOKENIZERS: dict = {}
-
 
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit integers, for a word-end BPE tokenizer that drops white space.
 
     No token spans a space or line feed, so a text's ids are those of its stretches between them. Texts of printable
-    ASCII and Latin-1 letters (PLAIN) are handled a block at a time in numpy: equal stretches are found by a 64-bit hash,
-    and the distinct ones merged all at once by the file's own merges. The library encodes whatever else there is.
+    ASCII and Latin-1 letters (PLAIN) are handled a block at a time in numpy: equal stretches are found by a 64-bit hash, which
+    is verified byte for byte, and the distinct ones merged all at once by the file's own merges. The library encodes
+    whatever else there is.
     """
 
     #: Characters whose lower case, class and normal form are plain.
@@ -58,13 +58,16 @@ class WordTokenizer:
         self.inner = np.array([vocab[char[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[char[b] + model["end_of_word_suffix"]] for b in range(256)], np.int64)
         self.keys, self.slots = self.table([vocab[a] << 16 | vocab[b] for a, b in pairs], [(i << 16) | vocab[a + b] for i, (a, b) in enumerate(pairs)])
-        self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")  # hash, start, count, ids
+        none = np.zeros(0, np.int64)
+        # stretches that are remembered, by hash: hash, start and number of its ids, start and number of its bytes; then all ids and bytes
+        self.seen = np.zeros(0, np.uint64), none, none, none, none, np.zeros(0, "<u4"), np.zeros(0, np.uint8)
 
     @staticmethod
     def of(path: str) -> WordTokenizer:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = WordTokenizer(path)
-        return _TOKENIZERS[path]
+        known = remembered(__name__)
+        if path not in known:
+            known[path] = WordTokenizer(path)
+        return known[path]
 
     @staticmethod
     def table(keys: list[int], values: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,19 +159,29 @@ class WordTokenizer:
         if not len(starts):
             return [b""] * len(texts)
         codes, place, which = np.unique(codes, return_index=True, return_inverse=True)
-        seen, begin, count, pool = self.seen
+        seen, begin, count, byte, length, pool, said = self.seen
+        own, size = starts[place], (ends - starts)[place]
+        if (size[which] != ends - starts).any() or not equal_stretches(data, starts, data, own[which], ends - starts).all():
+            return [self.library(t) for t in texts]  # stretches that differ have one hash
         at = np.minimum(np.searchsorted(seen, codes), max(len(seen) - 1, 0))
-        old = seen[at] == codes if len(seen) else np.zeros(len(codes), bool)
+        old = np.zeros(len(codes), bool)
+        if len(seen):
+            some = np.flatnonzero((seen[at] == codes) & (length[at] == size))
+            old[some] = equal_stretches(data, own[some], said, byte[at[some]], size[some])
         fresh = np.flatnonzero(~old)
-        ids, counts = self.distinct(data, starts[place[fresh]], ends[place[fresh]])
+        ids, counts = self.distinct(data, own[fresh], own[fresh] + size[fresh])
         begins, sizes = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
         begins[old], sizes[old] = begin[at[old]], count[at[old]]
         begins[fresh], sizes[fresh] = len(pool) + np.cumsum(counts) - counts, counts
         pool = np.concatenate([pool, ids])
-        if len(seen) + len(fresh) <= REMEMBERED:
-            seen = np.concatenate([seen, codes[fresh]])
+        keep = fresh[size[fresh] <= REMEMBERED_CHARS]
+        if len(seen) + len(keep) <= REMEMBERED:
+            n = size[keep]
+            more = data[np.repeat(own[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            seen = np.concatenate([seen, codes[keep]])
             order = np.argsort(seen)
-            self.seen = seen[order], np.concatenate([begin, begins[fresh]])[order], np.concatenate([count, counts])[order], pool
+            columns = ([begin, begins[keep]], [count, sizes[keep]], [byte, len(said) + np.cumsum(n) - n], [length, n])
+            self.seen = seen[order], *(np.concatenate(c)[order] for c in columns), pool, np.concatenate([said, more])
         n = sizes[which]
         total = np.cumsum(n)
         out = pool[np.repeat(begins[which] - (total - n), n) + np.arange(total[-1])].tobytes()
@@ -188,7 +201,7 @@ class WordTokenizer:
         new = list({w for w in words if w not in self.known})
         ids = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
         out = b"".join([self.known[w] if w in self.known else ids[w] for w in words])
-        if len(self.known) + len(ids) <= 2 * REMEMBERED:
+        if len(self.known) + len(ids) <= REMEMBERED:
             self.known.update((w, b) for w, b in ids.items() if len(w) <= REMEMBERED_CHARS)
         return out
 
@@ -244,8 +257,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     Each id of a document, and its end id, lies in exactly one piece; pieces fill a sequence from offset 0 without gaps,
     up to its capacity. A null or empty text has its end id alone. Rows of equal ids (null ones too) are documents of
-    their own; other columns are ignored. A last block that would be padded by more than LOOSE is cut freely into whole
-    sequences and sequences of lengths that are powers of two, which need no padding. sequence_id is unique, not dense.
+    their own; other columns are ignored. Sequences are full, but for less than one at the end of each partition, which is
+    cut into lengths that are powers of two. sequence_id is unique, not dense.
     """
     schema = T.StructType([field(df, id_col)] + T.StructType.fromDDL("start long, doc_tokens long, sequence_id long, offset long, length long, ids binary").fields)
     return df.select(id_col, text_col).mapInArrow(_Packer(tokenizer, capacity, end_id, schema), schema)
@@ -258,6 +271,7 @@ class _Packer:
         self.tokenizer, self.capacity, self.end, self.schema = tokenizer, capacity, np.array([end_id], "<u4").tobytes(), to_arrow_schema(schema)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(__name__)
         context = TaskContext.get()
         self.next = (context.partitionId() if context else 0) << 32
         self.rows: list[tuple] = []
@@ -268,27 +282,25 @@ class _Packer:
             whole = len(ids) - len(ids) % size
             for at in range(0, whole, size):
                 self.sequence([(doc, at // 4, n, ids[at : at + size])])
-            pieces += [(doc, at // 4, n, ids[at : min(at + 4 * PIECE_IDS, len(ids))]) for at in range(whole, len(ids), 4 * PIECE_IDS)]
-            while len(pieces) >= BLOCK_PIECES:
-                self.block(pieces[:BLOCK_PIECES])
-                pieces = pieces[BLOCK_PIECES:]
-            if len(self.rows) >= 4 * BLOCK_PIECES:
+            if whole < len(ids):
+                pieces.append((doc, whole // 4, n, ids[whole:]))
+            if len(pieces) >= BLOCK_PIECES:
+                pieces = self.block(pieces)
+            if len(self.rows) >= ROWS:
                 yield self.batch()
-        if pieces:
-            self.block(pieces, last=True)
+        rest = self.block(pieces)
+        while rest:
+            total = sum(len(p[3]) for p in rest) // 4
+            self.sequence(_cut(rest, 1 << (total.bit_length() - 1)))
         if self.rows:
             yield self.batch()
+        release(__name__)
 
     def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encode = WordTokenizer.of(self.tokenizer).encode
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            first = total = 0
-            for i, t in enumerate([*texts, None]):
-                if t is None or total and total + len(t) > AT_ONCE:
-                    yield from ((d, ids + self.end) for d, ids in zip(docs[first:i], encode(texts[first:i])))
-                    first, total = i, 0
-                total += len(t or "")
+        for block in sliced(batches, 1):
+            docs, texts = block.column(0).to_pylist(), [t or "" for t in block.column(1).to_pylist()]
+            yield from ((d, ids + self.end) for d, ids in zip(docs, encode(texts)))
 
     def sequence(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -297,31 +309,32 @@ class _Packer:
             offset += len(ids) // 4
         self.next += 1
 
-    def block(self, pieces: list[tuple], last: bool = False) -> None:
+    def block(self, pieces: list[tuple]) -> list[tuple]:
+        """Deals the pieces to windows and makes a sequence of each that can be filled; returns the pieces of what is left."""
         sizes = [len(p[3]) // 4 for p in pieces]
-        windows = deal(sizes, self.capacity)
-        if not last or len(windows) * self.capacity <= (1 + LOOSE) * sum(sizes):
-            for w in windows:
-                self.sequence([pieces[i] for i in w])
-            return
-        at, room = 0, []  # ids of the piece that are placed; a sequence's pieces
-        rest = sum(sizes)
-        pieces = pieces[::-1]
-        while rest:
-            want = self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1)
-            rest -= want
-            while want:
-                doc, start, n, ids = pieces[-1]
-                part = ids[4 * at : 4 * (at + want)]
-                room.append((doc, start + at, n, part))
-                want -= len(part) // 4
-                at += len(part) // 4
-                if 4 * at == len(ids):
-                    pieces.pop()
-                    at = 0
-            self.sequence(room)
-            room = []
+        windows = deal(sizes, self.capacity) if sizes else []
+        total = [sum(sizes[i] for i in w) for w in windows]
+        order = sorted(range(len(windows)), key=lambda i: -total[i])
+        full = sum(sizes) // self.capacity
+        rest = [pieces[i] for w in order[full:] for i in windows[w]]
+        for w in order[:full]:
+            room = [pieces[i] for i in windows[w]]
+            self.sequence(room + _cut(rest, self.capacity - total[w]))
+        return rest
 
     def batch(self) -> pa.RecordBatch:
         columns, self.rows = list(zip(*self.rows)), []
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema)], schema=self.schema)
+
+
+def _cut(pieces: list[tuple], want: int) -> list[tuple]:
+    """Takes so many ids off the end of the pieces; the piece where it ends is cut in two."""
+    out = []
+    while want:
+        doc, start, n, ids = pieces.pop()
+        if len(ids) > 4 * want:
+            pieces.append((doc, start, n, ids[: len(ids) - 4 * want]))
+            start, ids = start + len(ids) // 4 - want, ids[len(ids) - 4 * want :]
+        out.append((doc, start, n, ids))
+        want -= len(ids) // 4
+    return out

@@ -83,3 +83,40 @@ def test_differencing():
     windows = K.deal([1500, 1500, 1500], 2048)
     assert len(windows) == 3  # the least number of windows, 3, for a sum of 4500
     assert len(K.deal([1300, 1300, 1300], 2048)) == 3  # two windows would do for the sum, but not for the pieces
+
+
+def thue_morse(order):
+    a, b = "a", "b"
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Words of 1,024 and 2,048 letters that have one hash modulo 2 ** 64, in one block and in several."""
+    texts = [x for order in (10, 11) for x in thue_morse(order)] * 2
+    want = [np.array(expected(x)[:-1], "<u4").tobytes() for x in texts]
+    t = K.WordTokenizer(tokenizer_path())
+    assert t.encode(texts) == want
+    assert [t.encode([x])[0] for x in texts] == want
+    rows = [r.asDict() for r in K.pack(documents(spark, texts).repartition(3), tokenizer_path()).collect()]
+    checked(rows, {i: expected(x) for i, x in enumerate(texts)})
+
+
+def test_equal_hashes_are_verified(monkeypatch):
+    """With a hash that is the same for all words the ids are right all the same."""
+    real = K.stretches
+    monkeypatch.setattr(K, "stretches", lambda *a: (*(x := real(*a))[:2], np.zeros(len(x[0]), np.uint64)))
+    t = K.WordTokenizer(tokenizer_path())
+    for text in ("one two", "two one one", "three"):
+        assert t.encode([text]) == [np.array(expected(text)[:-1], "<u4").tobytes()]
+
+
+def test_no_padding_however_rows_are_dealt(spark):
+    """Each partition has full sequences and such of powers of two, whatever their number."""
+    rng = np.random.default_rng(5)
+    texts = ["word and " * int(n) for n in rng.integers(0, 900, 150)]
+    want = {i: expected(t) for i, t in enumerate(texts)}
+    for parts in (1, 7, 40):
+        rows = [r.asDict() for r in K.pack(documents(spark, texts).repartition(parts), tokenizer_path()).collect()]
+        assert checked(rows, want) == 0
