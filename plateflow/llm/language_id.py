@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, per_block, stretches
+from .common import edit_rows, field, per_block, remembered, stretches
 
-#: The training sample: documents of each language, and characters of each that are read.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 300, 2000
+#: The training sample: documents of each language, and chains of each, drawn from its whole text; words of over LONGEST
+#: letters aren't learned from.
+SAMPLE_DOCUMENTS, SAMPLE_CHAINS, LONGEST = 300, 24, 64
 #: Hashed feature space; times a word must occur to enter the lexicon; words of a chain at most.
 FEATURES, LEXICON, CHAIN = 1 << 18, 3, 64
 #: Gradient steps, their size, the penalty on squared weights, and the share of training chains that are spliced.
 STEPS, RATE, PENALTY, SPLICED = 40, 0.3, 1e-3, 0.3
 #: Words whose scores a worker remembers; characters that are handled at once.
-REMEMBERED, AT_ONCE = 400_000, 3_000_000
+REMEMBERED, AT_ONCE = 150_000, 700_000
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Text in which exactly these letters make words: ASCII and Latin-1.
@@ -177,19 +177,36 @@ def _spliced(which: np.ndarray, truth: np.ndarray, begins: np.ndarray) -> tuple[
     return which[flat], truth[flat], new
 
 
+def chains_of(text: str, key: str, most: int = SAMPLE_CHAINS) -> str:
+    """Chains of a whole text, a line for each: all, or those `most` whose places have the least hashes; in order."""
+    found = []
+    for sentence in re.split("[\n!.?]+", text):
+        words = [w for w in WORD.findall(sentence) if len(w) <= LONGEST]
+        found += [" ".join(words[i : i + CHAIN]) for i in range(0, len(words), CHAIN)]
+    if len(found) > most:
+        found = [found[i] for i in sorted(sorted(range(len(found)), key=lambda i: xxhash.xxh64_intdigest(f"{key}:{i}"))[:most])]
+    return "\n".join(found)
+
+
 def sample(df: DataFrame, text_col: str, label_col: str, key_col: str) -> tuple[list[str], list[str]]:
-    """At most SAMPLE_DOCUMENTS texts of each label, up to SAMPLE_CHARS characters of each, chosen by a hash of the key.
+    """At most SAMPLE_CHAINS chains of each of at most SAMPLE_DOCUMENTS documents of each label, chosen by hashes of key and text.
 
-    The counts that set each label's share cover all rows; the driver gets the sample alone.
+    The counts that set each label's share cover all rows; chains are drawn from whole texts where these lie, and the
+    driver gets the sample alone.
     """
     labelled = df.select(F.col(key_col).cast("string").alias("key"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null")
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * SAMPLE_DOCUMENTS / n))])
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    chosen = labelled.where(draw < F.element_at(share, F.col("label")) * F.lit(float(1 << 30)))
-    rows = chosen.select("label", draw.alias("draw"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    draw = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
+    chosen = labelled.select("label", "key", draw.alias("draw"), "text").where(F.col("draw") < F.element_at(share, F.col("label")) * F.lit(float(1 << 30)))
+
+    def block(columns):
+        labels, keys, draws, texts = columns
+        return [labels, draws, [chains_of(t, k or "") for k, t in zip(keys, texts)]]
+
+    rows = per_block(chosen, {c: c for c in chosen.columns}, block, "label string, draw long, text string").collect()
     kept: Counter = Counter()
     texts, labels = [], []
     for r in sorted(rows, key=lambda r: (r["draw"], r["label"], r["text"])):
@@ -205,11 +222,8 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", key_col:
     return train(*sample(df, text_col, label_col, key_col))
 
 
-_MEMORY: dict = {}
-
-
 class Labeller:
-    """Labels words and texts; what it learns about words is kept while the worker lives."""
+    """Labels words and texts; a worker remembers scores of words."""
 
     def __init__(self, model):
         """model: a broadcast of a Model."""
@@ -222,7 +236,8 @@ class Labeller:
         if not len(which):
             return np.zeros((0, len(model.labels))), size, text
         own = model.transitions.tobytes() + model.first.tobytes()
-        known, values = _MEMORY.get(own, (np.zeros(0, np.uint64), np.zeros((0, len(model.labels)))))
+        memory = remembered(__name__)
+        known, values = memory.get(own, (np.zeros(0, np.uint64), np.zeros((0, len(model.labels)))))
         at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
         old = known[at] == codes if len(known) else np.zeros(len(codes), bool)
         scores = np.zeros((len(codes), len(model.labels)))
@@ -232,39 +247,41 @@ class Labeller:
         if len(known) + len(new) <= REMEMBERED:
             known, values = np.r_[known, codes[new]], np.r_[values, scores[new]]
             order = np.argsort(known)
-            _MEMORY.clear()
-            _MEMORY[own] = known[order], values[order]
+            memory.clear()
+            memory[own] = known[order], values[order]
         return forward_backward(scores[which], begins, model.transitions, model.first)[0], size, text
 
-    def label(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Each text's language and its share of the letters; `und` and 0 without a letter."""
+    def label(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Each text's language and its share of the letters, and how sure its words' labels are; `und` and 0 without a letter."""
         labels = self.model.value.labels
         marginals, size, text = self.marginals(texts)
         mass = np.stack([np.bincount(text, marginals[:, j] * size, len(texts)) for j in range(len(labels))], axis=1)
         total = mass.sum(axis=1)
         best = mass.argmax(axis=1)
         score = np.where(total > 0, mass[np.arange(len(texts)), best] / np.maximum(total, 1e-300), 0.0).clip(0, 1)
-        return [labels[b] if t > 0 else "und" for b, t in zip(best.tolist(), total.tolist())], score.tolist()
+        sure = np.bincount(text, marginals.max(axis=1, initial=0) * size, len(texts)) / np.maximum(total, 1e-300)
+        return [labels[b] if t > 0 else "und" for b, t in zip(best.tolist(), total.tolist())], score.tolist(), sure.tolist()
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        texts, langs, scores = [t or "" for t in texts], [], []
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        texts, langs, scores, sure = [t or "" for t in texts], [], [], []
         first = size = 0
         for i, t in enumerate([*texts, None]):
             if t is None or size and size + len(t) > AT_ONCE:
                 if i > first:
-                    a, b = self.label(texts[first:i])
+                    a, b, c = self.label(texts[first:i])
                     langs += a
                     scores += b
+                    sure += c
                 first, size = i, 0
             size += len(t or "")
-        return langs, scores
+        return langs, scores, sure
 
 
 class _Unknown:
     """In place of a labeller where nothing could be learned."""
 
-    def __call__(self, texts: list) -> tuple[list[str], list[float]]:
-        return ["und"] * len(texts), [0.0] * len(texts)
+    def __call__(self, texts: list) -> tuple[list[str], list[float], list[float]]:
+        return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
 
 
 def _labeller(df: DataFrame, model: Model | None):
@@ -280,7 +297,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     """
     labeller = _labeller(df, model)
     schema = T.StructType([field(df, id_col), *T.StructType.fromDDL("lang_pred string, score double").fields])
-    return per_block(df, {"id": f"`{id_col}`", "text": f"`{text_col}`"}, lambda columns: [columns[0], *labeller(columns[1])], schema)
+    return per_block(df, {"id": f"`{id_col}`", "text": f"`{text_col}`"}, lambda columns: [columns[0], *labeller(columns[1])[:2]], schema)
 
 
 def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,8 +309,7 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
         marginals, _, text = labeller.marginals(texts)
         best, names = marginals.argmax(axis=1), labeller.model.value.labels
         out, at = [], 0
-        for i, t in enumerate(texts):
-            n = int((text == i).sum())
+        for t, n in zip(texts, np.bincount(text, minlength=len(texts)).tolist()):
             out.append([{"word": w, "lang": names[best[at + j]], "p": float(marginals[at + j, best[at + j]])} for j, w in zip(range(n), WORD.findall(t))])
             at += n
         return [columns[0], out]
@@ -303,19 +319,20 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
 
 def keep_known(df: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """df's rows whose language is known with a score of `least` or more; all columns stay. Without a model all rows stay."""
+    """df's rows whose words are of known languages; all columns stay. Without a model all rows stay.
+
+    A row goes if its text is null or has no letter, or if its words' labels are on average (by letters) less sure than
+    `least`; how many languages share a text doesn't matter, so code-switched text stays.
+    """
     if model is None:
         return df
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    labeller, place, arrow = _labeller(df, model), df.schema.names.index(text_col), to_arrow_schema(df.schema)
+    labeller = _labeller(df, model)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = labeller(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)])).columns, schema=arrow)
+    def keep(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        langs, _, sure = labeller(texts)
+        return rows.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, sure)], pa.bool_()))
 
-    return df.mapInArrow(keep, df.schema)
+    return edit_rows(df, text_col, keep)
 
 
 def held_out(id_col: str = "doc_id"):

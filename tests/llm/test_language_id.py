@@ -54,10 +54,23 @@ def test_edges(spark, model):
     assert all(0 <= r["score"] <= 1 and r["lang_pred"] in {"und", "xx", "yy", "zz"} for r in got.values())
     assert L.identify(documents(spark, ["a", None]), None).select("lang_pred", "score").distinct().collect() == [("und", 0.0)]
     assert L.identify(documents(spark, [""]).where("false"), model).collect() == []
+    mixed = ["theing schung eauquè. whed ichü mentoi. edthe ungsch oieau."]  # three languages in equal parts are known all the same
+    assert L.keep_known(documents(spark, mixed), model).count() == 1
     kept = L.keep_known(clashing(documents(spark, texts)), model)
     assert {3, 4, 7} <= {r["doc_id"] for r in kept.collect()} and not {0, 1, 2} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_sample_reads_whole_texts(spark):
+    """Chains come from all of a text, not from its beginning, and no document gives more than so many."""
+    text = ". ".join(f"word{'abcdefghij'[i % 10]} number{'abcdefghij'[i // 100 % 10]}" for i in range(1000))
+    chains = L.chains_of(text, "7").split("\n")
+    assert len(chains) == L.SAMPLE_CHAINS and len({c[-1] for c in chains}) >= 7
+    assert L.chains_of("one two. " + "x" * 100 + " three", "7") == "one two\nthree"
+    assert all(len(c.split()) <= L.CHAIN for c in L.chains_of("w " * 1000, "7").split("\n"))
+    texts, labels = L.sample(documents(spark, [text, None, "b c"], langs=["xx", "xx", "yy"]), "text", "lang", "doc_id")
+    assert sorted(labels) == ["xx", "yy"] and max(len(t.split("\n")) for t in texts) == L.SAMPLE_CHAINS
+
+
 def test_nothing_to_learn_from(spark):
     assert L.fit(documents(spark, ["a", "b"])) is None and L.fit(documents(spark, [None, "7"], langs=["xx", "yy"])) is None
 
