@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, mixed, per_block, stretches
+from .common import edit_rows, field, mixed, per_block, stretches
 
 #: The zeros may be replaced in a text. Any 13 to 25 tokens of which AGREE or more agree hold a place where one of the masks
 #: fits; a longer stretch splits into such lengths, one of which has that share too, so no overlap is without a seed.
 MASKS = ("1111111", "11101111", "11110111", "1110100111", "1101001000111", "111100010011", "10100110111")
-#: Tokens of a verified overlap, the share of them that must agree, and of an item that is too short for that (verbatim, whole).
-OVERLAP, AGREE, SHORT = 13, 0.8, 5
-#: Tokens of test items that are broadcast at once, and bits of the table that rules most hashes out.
-SLICE_TOKENS, TABLE_BITS, AT_ONCE = 1_000_000, 22, 3_000_000
+#: Tokens of a verified overlap, and the share of them that must agree. An item of fewer tokens is found verbatim, as a whole.
+OVERLAP, AGREE = 13, 0.8
+#: Tokens of test items that are broadcast at once, most bits of the tables that rule most hashes out, hits that are held at once.
+SLICE_TOKENS, TABLE_BITS, AT_ONCE = 1_000_000, 22, 1 << 20
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Text (lower-cased) in which exactly the ASCII characters that aren't letters or digits separate tokens.
@@ -73,14 +73,16 @@ class Seeds:
     hashes: list[np.ndarray]
     places: list[np.ndarray]
     tables: list[np.ndarray]
+    bits: int
 
     @staticmethod
-    def of(ids: list, texts: list[str]) -> Seeds:
+    def of(ids: list, texts: list[str], shortest: int = 1) -> Seeds:
         codes, begin = token_codes(texts)
         sizes = np.diff(begin)
         item = np.repeat(np.arange(len(ids)), sizes)
-        short = sorted({int(n) for n in sizes if SHORT <= n < OVERLAP})
-        seeds = Seeds(ids, codes, begin, [*MASKS, *("1" * n for n in short)], [], [], [])
+        short = sorted({int(n) for n in sizes if shortest <= n < OVERLAP})
+        bits = min(TABLE_BITS, max(12, 4 + len(codes).bit_length()))
+        seeds = Seeds(ids, codes, begin, [*MASKS, *("1" * n for n in short)], [], [], [], bits)
         for k, mask in enumerate(seeds.masks):
             hashes = seed_hashes(codes, mask)
             at = np.arange(len(hashes))
@@ -89,8 +91,8 @@ class Seeds:
             fits = own & (sizes[item[at]] >= OVERLAP if k < len(MASKS) else sizes[item[at]] == len(mask))
             hashes, at = hashes[fits], at[fits]
             order = np.argsort(hashes, kind="stable")
-            table = np.zeros(1 << TABLE_BITS, bool)
-            table[hashes >> np.uint64(64 - TABLE_BITS)] = True
+            table = np.zeros(1 << bits, bool)
+            table[hashes >> np.uint64(64 - bits)] = True
             seeds.hashes.append(hashes[order])
             seeds.places.append(at[order])
             seeds.tables.append(table)
@@ -100,18 +102,29 @@ class Seeds:
         """Distinct (text, item, diagonal) of the texts' seeds that equal a test seed of the same mask."""
         item_of = np.repeat(np.arange(len(self.ids)), np.diff(self.begin))
         text_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        found = [np.zeros((0, 3), np.int64)]
+        found, held = [np.zeros((0, 3), np.int64)], 0
         for mask, hashes, places, table in zip(self.masks, self.hashes, self.places, self.tables):
             if not len(hashes):
                 continue
             own = seed_hashes(codes, mask)
-            at = np.flatnonzero(table[own >> np.uint64(64 - TABLE_BITS)])
+            at = np.flatnonzero(table[own >> np.uint64(64 - self.bits)])
             at = at[text_of[at] == text_of[at + len(mask) - 1]]
-            low, high = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
-            n = high - low
-            at = np.repeat(at, n)
-            place = places[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            found.append(np.stack([text_of[at], item_of[place], (at - begin[text_of[at]]) - (place - self.begin[item_of[place]])], axis=1))
+            low = np.searchsorted(hashes, own[at], "left")
+            n = np.searchsorted(hashes, own[at], "right") - low
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            # a seed that is frequent in the texts and in the items has as many hits as both together: some at a time
+            while len(at):
+                part = max(1, int(np.searchsorted(np.cumsum(n), AT_ONCE, "right")))
+                here, first, times = at[:part], low[:part], n[:part]
+                for i in range(0, int(times.max()), AT_ONCE):
+                    few = np.clip(times - i, 0, AT_ONCE)
+                    place = places[np.repeat(first + i - (np.cumsum(few) - few), few) + np.arange(few.sum())]
+                    text = np.repeat(here, few)
+                    found.append(np.stack([text_of[text], item_of[place], (text - begin[text_of[text]]) - (place - self.begin[item_of[place]])], axis=1))
+                    held += len(place)
+                    if held > AT_ONCE:
+                        found, held = [np.unique(np.concatenate(found), axis=0)], 0
+                at, low, n = at[part:], low[part:], n[part:]
         return np.unique(np.concatenate(found), axis=0)
 
 
@@ -163,19 +176,19 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield held
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shortest: int = 1) -> DataFrame:
     """One row for each row of df and test item that share a verified overlap.
 
     Returns id, item id, item_tokens, tokens and agreeing (of the longest overlap) and spans: every overlap's (start, end)
-    in code points of the text. Tokens are runs of letters and digits, in lower case. Items of fewer than SHORT tokens
-    can't be told from chance and are never found; null texts have no tokens; repeated rows and items each have their
-    rows; null ids are kept; empty tables give an empty result.
+    in code points of the text. Tokens are runs of letters and digits, in lower case. Items of fewer than OVERLAP tokens are
+    found verbatim, those of fewer than `shortest` not at all; null texts have no tokens, and items without one are never
+    found; repeated rows and items each have their rows; null ids are kept; empty tables give an empty result.
     """
     spark = df.sparkSession
     schema = T.StructType([field(df, id_col), field(benchmark, item_col), *T.StructType.fromDDL("item_tokens long, tokens long, agreeing long, spans array<struct<start: long, end: long>>").fields])
     results = []
     for part in _slices(benchmark, item_col, item_text_col):
-        seeds = spark.sparkContext.broadcast(Seeds.of(*map(list, zip(*part))))
+        seeds = spark.sparkContext.broadcast(Seeds.of(*map(list, zip(*part)), shortest))
         results.append(per_block(df, {"id": f"`{id_col}`", "text": f"`{text_col}`"}, _Finder(seeds), schema))
     if not results:
         return spark.createDataFrame([], schema)
@@ -191,15 +204,9 @@ class _Finder:
 
     def __call__(self, columns: list[list]) -> list[list]:
         ids, texts = columns[0], [t or "" for t in columns[1]]
-        seeds, rows = self.seeds.value, []
-        first = size = 0
-        for i, t in enumerate([*texts, None]):
-            if t is None or size and size + len(t) > AT_ONCE:
-                rows += [(first + k, item, got) for k, item, got in find(texts[first:i], seeds)]
-                first, size = i, 0
-            size += len(t or "")
+        seeds = self.seeds.value
         out = [[], [], [], [], [], []]
-        for k, item, got in rows:
+        for k, item, got in find(texts, seeds):
             places = [m.span() for m in TOKEN.finditer(lowered(texts[k]))]
             best = max(got, key=lambda x: (x[1], x[2], -x[0]))
             spans = [{"start": places[s][0], "end": places[s + n - 1][1]} for s, n, _ in got]
@@ -208,28 +215,27 @@ class _Finder:
         return out
 
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
-    """df's rows without a verified overlap with a test item; all columns stay. One pass for each slice of the test set."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def decontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", shortest: int = 5) -> DataFrame:
+    """df's rows without a verified overlap with a test item; all columns stay. One pass for each slice of the test set.
 
-    place, arrow = df.schema.names.index(text_col), to_arrow_schema(df.schema)
+    Items of fewer than `shortest` tokens (a single common word, say) make no row go: they can't be told from chance.
+    """
     for part in _slices(benchmark, item_text_col, item_text_col):
-        seeds = df.sparkSession.sparkContext.broadcast(Seeds.of(*map(list, zip(*part))))
+        seeds = df.sparkSession.sparkContext.broadcast(Seeds.of(*map(list, zip(*part)), shortest))
 
-        def clean(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
-            finder = _Finder(seeds)
-            for batch in batches:
-                found = set(finder([list(range(batch.num_rows)), batch.column(place).to_pylist()])[0])
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array([i not in found for i in range(batch.num_rows)])).columns, schema=arrow)
+        def clean(rows: pa.RecordBatch, texts: list, seeds=seeds) -> pa.RecordBatch:
+            found = np.zeros(len(texts), bool)
+            found[[k for k, _, _ in find([t or "" for t in texts], seeds.value)]] = True
+            return rows.filter(pa.array(~found))
 
-        df = df.mapInArrow(clean, df.schema)
+        df = edit_rows(df, text_col, clean)
     return df
 
 
 def brute_force(text: str | None, item: str | None) -> bool:
     """Whether any diagonal has a verified overlap; for tests."""
     a, b = (TOKEN.findall(lowered(x or "")) for x in (text, item))
-    if len(b) < SHORT:
+    if not b:
         return False
     codes = {w: i for i, w in enumerate({*a, *b})}
     x, y = np.array([codes[w] for w in a]), np.array([codes[w] for w in b])

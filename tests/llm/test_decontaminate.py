@@ -24,8 +24,7 @@ def made():
                 part = part[: rng.randrange(16, len(part) + 1)]
             at = rng.randrange(len(body) + 1)
             body[at:at] = part
-            if len(items[k]) >= D.SHORT:
-                leaks.add((i, k))
+            leaks.add((i, k))
         texts.append(rng.choice([" ", ", ", "\n"]).join(body).title())
     return [" ".join(x) for x in items], texts, leaks
 
@@ -40,9 +39,36 @@ def test_brute_force(spark):
     for r in got:
         assert r["agreeing"] >= D.AGREE * r["tokens"] and r["tokens"] <= r["item_tokens"]
         s = r["spans"][0]
-        assert len(D.TOKEN.findall(texts[r["doc_id"]][s["start"] : s["end"]])) in {x for x in range(5, 61)}
+        assert len(D.TOKEN.findall(texts[r["doc_id"]][s["start"] : s["end"]])) in {x for x in range(4, 61)}
     kept = D.decontaminated(documents(spark, texts), benchmark)
-    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in leaks}
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {i for i, k in leaks if len(items[k].split()) >= 5}
+
+
+def test_short_items(spark):
+    """Items of one token and more are found verbatim, with a parameter that rules from how many tokens on."""
+    texts, items = ["yes", "Yes, it is", "no it is not", "", None, "it it it it"], ["yes", "it is", "", None, "?!", "it"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), ITEMS)
+    got = {(r["doc_id"], r["item_id"], len(r["spans"])) for r in D.contaminated(documents(spark, texts), benchmark).collect()}
+    assert got == {(0, 0, 1), (1, 0, 1), (1, 1, 1), (2, 1, 1), (1, 5, 1), (2, 5, 1), (5, 5, 4)}
+    assert {(i, k) for i, k, _ in got} == {(i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if D.brute_force(t, x)}
+    assert {r["item_id"] for r in D.contaminated(documents(spark, texts), benchmark, shortest=2).collect()} == {1}
+    assert D.decontaminated(documents(spark, texts), benchmark).count() == len(texts)
+
+
+def test_frequent_seeds_are_met_in_parts(monkeypatch):
+    """Texts and items that say one word over and over have as many hits as both together; the result doesn't depend on the parts."""
+    texts, items = ["la " * 90 + "x y", "a b c"], ["la " * 40, "la " * 15 + "x"]
+    want = D.find(texts, D.Seeds.of([0, 1], items))
+    monkeypatch.setattr(D, "AT_ONCE", 7)
+    assert D.find(texts, D.Seeds.of([0, 1], items)) == want and {(t, i) for t, i, _ in want} == {(0, 0), (0, 1)}
+
+
+def test_equal_items(spark):
+    """Each of many equal items has its row."""
+    item = " ".join(f"word{i}" for i in range(20))
+    benchmark = spark.createDataFrame([(i, item) for i in range(300)], ITEMS)
+    got = D.contaminated(documents(spark, [f"before {item} after", "nothing"]), benchmark).collect()
+    assert sorted(r["item_id"] for r in got) == list(range(300)) and {r["doc_id"] for r in got} == {0}
 
 
 def test_masks_leave_no_window_out():
