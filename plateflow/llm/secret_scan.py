@@ -1,23 +1,26 @@
-"""Secret scans over a block-wise trigram inverted index.
+"""Secret scans over a trigram inverted index.
 
-Each rule's regular expression is parsed into a Boolean query over trigrams. A block of documents gets postings (trigram
--> documents that contain it) for the trigrams that any rule asks for; a rule's query intersects and unites them, and
-only the candidates are verified with the expression. A rule without mandatory trigrams scans every document. The index
-of a block lives and dies with the block, so nothing is shuffled and memory is bounded by the block.
+Each rule's regular expression is parsed into a Boolean query over trigrams. Texts are indexed by their own trigrams, a
+block of documents at a time: postings are the sorted (trigram, document) pairs of the block. A rule's query intersects
+and unites postings, and only the candidates are verified with the expression. A rule without mandatory trigrams scans
+every document. The index of a block lives and dies with the block, so nothing is shuffled and memory is bounded by it.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import sha256
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, per_block
+from .common import edit_rows, field, per_block
 
 try:
     from re import _constants as sre
@@ -65,6 +68,7 @@ RULES = BASE_RULES + MORE_RULES
 # A query is True (anything may match), a trigram, or ("and" | "or", (queries...)).
 
 
+@lru_cache(256)
 def trigram_query(rule: Rule):
     """The Boolean trigram query that every text with a match of the rule satisfies; trigrams are in lower case."""
     return _Derive().whole(sre_parse.parse(rule.pattern, rule.compiled().flags))
@@ -76,14 +80,44 @@ def trigrams_of(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
 
 
-def candidates(query, postings: dict[str, set[int]], everything: set[int]) -> set[int]:
-    """The documents that satisfy the query."""
-    if query is True:
-        return everything
-    if isinstance(query, str):
-        return postings[query]
-    parts = [candidates(q, postings, everything) for q in query[1]]
-    return set.intersection(*parts) if query[0] == "and" else set.union(*parts)
+#: Capitals to small letters, byte by byte; the rules' case is that of ASCII.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class TrigramIndex:
+    """Postings of a block of texts: for each trigram of their UTF-8 bytes, in lower case, the texts that have it."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = _LOWER[np.frombuffer(b"".join(raw), np.uint8)].astype(np.uint64)
+        size = np.array([len(r) for r in raw], np.int64)
+        self.all = np.arange(len(texts))
+        if len(data) < 3:
+            self.pairs = np.zeros(0, np.uint64)
+            return
+        text = np.repeat(self.all, size)
+        codes = (data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) << np.uint64(32) | text[:-2].astype(np.uint64)
+        codes = np.sort(codes[text[:-2] == text[2:]])
+        self.pairs = codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
+
+    def postings(self, trigram: str) -> np.ndarray:
+        """The texts that have a trigram, in order."""
+        code = int.from_bytes(trigram.encode(), "big") << 32
+        low, high = np.searchsorted(self.pairs, np.array([code, code + (1 << 32)], np.uint64))
+        return (self.pairs[low:high] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def candidates(self, query) -> np.ndarray:
+        """The texts that satisfy a query, in order. A trigram that isn't ASCII tells nothing."""
+        if query is True or isinstance(query, str) and not query.isascii():
+            return self.all
+        if isinstance(query, str):
+            return self.postings(query)
+        parts = sorted((self.candidates(q) for q in query[1]), key=len)
+        out = parts[0]
+        for p in parts[1:]:
+            out = np.intersect1d(out, p, assume_unique=True) if query[0] == "and" else np.union1d(out, p)
+        return out
 
 
 def _join(kind: str, queries) -> object:
@@ -172,16 +206,13 @@ class _Derive:
 
 
 def find_spans(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int, int, int]]]:
-    """For each text its matches (start, rule's place, end, mask's start, mask's end), sorted. Full index and verification."""
-    queries = [trigram_query(r) for r in rules]
-    lower = [t.lower() for t in texts]
-    postings = {g: {i for i, t in enumerate(lower) if g in t} for g in set().union(*map(trigrams_of, queries))}
-    everything, found = set(range(len(texts))), [[] for _ in texts]
-    for k, (rule, query) in enumerate(zip(rules, queries)):
+    """For each text its matches (start, rule's place, end, mask's start, mask's end), sorted."""
+    index, found = TrigramIndex(texts), [[] for _ in texts]
+    for k, rule in enumerate(rules):
         # a bare class repeated: runs that are too short need not become matches
         fast = re.compile(f"{rule.pattern[:-1]}{{{rule.least},}}", re.ASCII) if re.fullmatch(r"\[[^\]]+\]\+", rule.pattern) and not rule.group and not rule.ignore_case else None
         expression = fast or rule.compiled()
-        for i in candidates(query, postings, everything):
+        for i in index.candidates(trigram_query(rule)).tolist():
             for m in expression.finditer(texts[i]):
                 if len(m[rule.group]) >= rule.least:
                     found[i].append((m.start(), k, m.end(), *m.span(rule.mask)))
@@ -214,26 +245,19 @@ def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_cha
     All columns and rows stay, in df's order of columns; chars_col (if df has it) is set anew where a text changed. Null
     texts stay null.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = df.schema
-    place, chars = schema.names.index(text_col), schema.names.index(chars_col) if chars_col in schema.names else -1
-    arrow = to_arrow_schema(schema)
-
-    def each(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            new = [None if t is None else _masked(t, x, mark) for t, x in zip(texts, find_spans([t or "" for t in texts], rules))]
-            columns = list(batch.columns)
-            columns[place] = pa.array(new, arrow.field(place).type)
-            if chars >= 0:
-                old = columns[chars].to_pylist()
-                columns[chars] = pa.array([len(n) if n is not None and n != t else o for n, t, o in zip(new, texts, old)], arrow.field(chars).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return df.mapInArrow(each, schema)
+    kinds = df.schema
+    place, chars = kinds.names.index(text_col), kinds.names.index(chars_col) if chars_col in kinds.names else -1
+
+    def each(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        new = [None if t is None else _masked(t, x, mark) for t, x in zip(texts, find_spans([t or "" for t in texts], rules))]
+        columns = list(rows.columns)
+        columns[place] = pa.array(new, rows.schema.field(place).type)
+        if chars >= 0:
+            old = columns[chars].to_pylist()
+            columns[chars] = pa.array([len(n) if n is not None and n != t else o for n, t, o in zip(new, texts, old)], rows.schema.field(chars).type)
+        return pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+
+    return edit_rows(df, text_col, each)
 
 
 def _masked(text: str, found: list[tuple], mark: str) -> str:

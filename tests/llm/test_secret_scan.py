@@ -51,8 +51,27 @@ def test_queries_miss_no_match(rule):
     """Every text with a match satisfies the rule's trigram query."""
     for t in filter(None, TEXTS):
         if rule.compiled().search(t):
-            postings = {g: {0} if g in t.lower() else set() for g in S.trigrams_of(S.trigram_query(rule))}
-            assert S.candidates(S.trigram_query(rule), postings, {0}) == {0}
+            assert S.TrigramIndex(["", t]).candidates(S.trigram_query(rule)).tolist()[-1:] == [1]
+
+
+def test_postings_are_those_of_the_texts():
+    texts = ["", "ab", "abc", "xABCx", "éabc", "ab", "c", "日本語abc", "abcabc"]
+    index = S.TrigramIndex(texts)
+    assert index.postings("abc").tolist() == [2, 3, 4, 7, 8]  # none across texts
+    assert index.postings("bca").tolist() == [8] and index.postings("zzz").tolist() == []
+    assert index.candidates(("and", ("abc", "bca"))).tolist() == [8]
+    assert index.candidates(("or", ("bca", "xab"))).tolist() == [3, 8]
+    assert index.candidates("éab").tolist() == list(range(len(texts)))
+    assert S.TrigramIndex([]).candidates("abc").tolist() == []
+
+
+def test_few_texts_are_verified():
+    """Of texts without secrets, no rule with trigrams verifies one; a rule without them verifies all."""
+    texts = [f"plain words number {i} about nothing at all" for i in range(500)] + ["the password is = somewhere", "token: abcdefghijklmnop"]
+    index = S.TrigramIndex(texts)
+    for rule in S.RULES:
+        n = len(index.candidates(S.trigram_query(rule)))
+        assert n == len(texts) if S.trigram_query(rule) is True else n <= 2, rule.kind
 
 
 def test_rules_without_trigrams_scan_fully():
