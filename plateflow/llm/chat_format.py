@@ -33,8 +33,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    kept = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(kept, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # parts between doubled backslashes: what escapes a line feed there is a single one, whatever characters the role has
+    parts = F.split(unescape(role), r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def reply_paths(messages: DataFrame) -> DataFrame:
