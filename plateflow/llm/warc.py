@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import zipfile
 import zlib
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, shared_dir
+from .common import cut_lineage, file_system, shared_dir
 
 #: Bytes of payload from which a new package begins.
 PACKAGE_BYTES = 16_000_000
+#: Most tasks that packages are dealt to, each of which reads one after the other.
+TASKS = 1 << 14
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -146,15 +149,53 @@ def package(records: list[tuple[bytes, dict]]) -> bytes:
 
 
 def records_of(file, size: int) -> Iterator[bytes]:
-    """The records of a package, each read as a range of it."""
+    """The records of a package, each read as a range of it; those of stored archives without an index by walking these."""
     zipped = StoredMembers(file, size)
-    places = {}
+    indexed = set()
     for name in sorted(zipped.members):
         if name.startswith("indexes/") and name.endswith(".cdxj"):
             for line in zipped.read(name).decode().splitlines():
                 about = json.loads(line)
-                start = places.setdefault(about["filename"], None) or places.update({about["filename"]: zipped.place(about["filename"])[0]}) or places[about["filename"]]
+                start, _ = zipped.place(about["filename"])
+                indexed.add(about["filename"])
                 yield zlib.decompress(zipped.range(start + about["offset"], about["length"]), 31)
+    for name in sorted(zipped.members):
+        if name.startswith("archive/") and name not in indexed and name.endswith((".warc.gz", ".warc")):
+            yield from walk(zipped, name)
+
+
+#: Bytes that are read at once where no index tells a record's place.
+STEP = 1 << 20
+
+
+def walk(zipped: StoredMembers, name: str) -> Iterator[bytes]:
+    """The records of a stored archive, in order: its gzip members, or records by the lengths that their heads tell."""
+    at, left = zipped.place(name)
+
+    def more() -> bytes:
+        nonlocal at, left
+        part = zipped.range(at, min(STEP, left))
+        at, left = at + len(part), left - len(part)
+        return part
+
+    held = more()
+    while held:
+        if name.endswith(".gz"):
+            member, out = zlib.decompressobj(31), []
+            while not member.eof:
+                if not held and not (held := more()):
+                    raise ValueError(f"{name} ends within a record")
+                out.append(member.decompress(held))
+                held = member.unused_data if member.eof else b""
+            yield b"".join(out)
+        else:
+            while (head := held.find(b"\r\n\r\n")) < 0 or len(held) < (whole := head + 8 + int(re.search(rb"(?im)^content-length:\s*(\d+)", held[:head])[1])):
+                if not (part := more()):
+                    raise ValueError(f"{name} ends within a record")
+                held += part
+            yield held[:whole]
+            held = held[whole:]
+        held = held or more()
 
 
 # Over DataFrames
@@ -205,9 +246,7 @@ class _Writer:
             yield self.put(records)
 
     def put(self, records: list) -> pa.RecordBatch:
-        from pyarrow.fs import FileSystem
-
-        files, folder = FileSystem.from_uri(self.folder)
+        files, folder = file_system(self.folder)
         files.create_dir(folder, recursive=True)
         name = f"{uuid4()}.wacz"
         with files.open_output_stream(f"{folder}/{name}") as out:
@@ -223,8 +262,9 @@ def read(packages: DataFrame, with_payload: bool = True) -> DataFrame:
     doesn't have its digest raises ValueError.
     """
     schema = T.StructType.fromDDL("page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
-    # one package to a task, whatever their number
-    return packages.select("path").repartition("path").mapInArrow(_Reader(with_payload, schema), schema)
+    # packages are dealt out by a number: few and short rows would be put together in one task otherwise
+    paths = packages.select("path")
+    return paths.repartition(max(1, min(TASKS, paths.count()))).mapInArrow(_Reader(with_payload, schema), schema)
 
 
 class _Reader:
@@ -234,11 +274,9 @@ class _Reader:
         self.schema = to_arrow_schema(schema)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                files, place = FileSystem.from_uri(path)
+                files, place = file_system(path)
                 with files.open_input_file(place) as f:
                     rows = []
                     for raw in records_of(f, f.size()):

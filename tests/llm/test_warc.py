@@ -90,6 +90,22 @@ def test_stored_only_and_damage():
         W.StoredMembers(io.BytesIO(b"no archive"), 10)
 
 
+def test_archives_without_an_index():
+    """Members that no index names are walked: gzip records and plain ones, also those that lie across steps."""
+    records = [W.record(i, f"http://h/{i}", b"<p>\r\n\r\n" + bytes([97 + i]) * (i * 90_000), W.base32_sha1(b""), None, False) for i in range(6)]
+    whole = W.package([(r, {"page": i}) for i, r in enumerate(records)])
+    for step in (1 << 20, 1000):
+        W.STEP, kept = step, W.STEP
+        try:
+            for name, raw in ((W.DATA, None), ("archive/plain.warc", b"".join(records))):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+                    z.writestr(name, raw if raw is not None else zipfile.ZipFile(io.BytesIO(whole)).read(W.DATA))
+                assert list(W.records_of(io.BytesIO(out.getvalue()), len(out.getvalue()))) == records
+        finally:
+            W.STEP = kept
+
+
 def test_packages_are_plain_zip_files():
     raw = W.package([(W.record(1, "u", b"body", W.base32_sha1(b"body"), None, False), {"page": 1})])
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
