@@ -2,16 +2,18 @@
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else. Every window of that length has an
 anchor, the least hash among its 16-byte strings (the leftmost of equals), so equal windows have equal anchors. Windows
-next to each other that share one make a stretch. Stretches meet by their anchors' hashes:
+next to each other that share one make a stretch. Stretches meet by their anchors' hashes, which decide nothing else:
 
 - an anchor that occurs once rules out all its windows, and nothing but its hash is moved;
-- stretches that are equal as a whole are repeated as a whole, and only counts of them are moved;
-- the distinct stretches that share an anchor's hash go to one bucket. There a batch of windows gets a suffix array
+- stretches that are equal as a whole (by 128 bits of XXH3) are repeated as a whole. Those of one shard are found there,
+  and one of them goes on for all; of those of different shards only counts are moved;
+- the distinct stretches that share an anchor's hash are compared in one place. There a batch of windows gets a suffix array
   (suffixes in byte order, as far as `length` goes); suffix arrays of equal size are merged, geometrically, and the scan
   of each merge finds the matches that are long enough;
-- a hash with more than CROWD distinct stretches isn't gathered: hashes of pieces of them, and at the edges of repeated
-  passages of single windows, are counted instead.
+- a hash with more than CROWD distinct stretches isn't gathered: 128-bit hashes of pieces of them, and at the edges of
+  repeated passages of single windows, are counted instead, as exactly.
 
+A family lives as long as the anchors that it compares: the levels are kept in memory, and are not stored for later runs.
 Texts are written once, in shards, to the shared folder, and each later step reads a shard where it needs it; shuffles
 hold hashes, positions and the bytes of stretches that are yet to be compared.
 """
@@ -25,16 +27,18 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, mixed, powers, prefix_sums, shared_dir
+from .common import field, file_system, mixed, powers, prefix_sums, release, shared_dir
 
 #: Bytes of an anchor, of a shard, and positions that are handled at once (2 ** PLACE_BITS at most).
 ANCHOR, SHARD_BYTES, PLACE_BITS = 16, 8_000_000, 20
-#: Stretches of one anchor's hash that are compared in one place, windows of a piece of others; windows of a batch and, about, of a bucket.
-CROWD, PIECE, BATCH, BUCKET_WINDOWS = 2000, 16, 1 << 15, 150_000
+#: Stretches of one anchor's hash that are compared in one place, windows of a piece of others; windows of a batch and, about, of a
+#: family; most tasks that families are dealt to, each of which has one after the other.
+CROWD, PIECE, BATCH, FAMILY_WINDOWS, TASKS = 2000, 16, 1 << 15, 150_000, 1 << 14
 
 
 # Suffix arrays
@@ -87,8 +91,14 @@ class SuffixFamily:
 # Stretches
 
 
+def digests(raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+    """128 bits of each stretch's content."""
+    digest = xxhash.xxh3_128_digest
+    return [digest(raw[a:b]) for a, b in zip(starts, ends)]
+
+
 def stretches_of(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For documents that lie one after the other (ends: where each ends): arrays of anchor hash, content hash, start, windows.
+    """For documents that lie one after the other (ends: where each ends): arrays of anchor hash, two halves of the content's, start, windows.
 
     A stretch is of windows within one document that have the same anchor.
     """
@@ -111,23 +121,25 @@ def stretches_of(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tu
         stop = np.r_[new[1:], n]
         keep = inside[new]
         new, stop = new[keep], stop[keep]
-        content = mixed((sums[stop + length - 1] - sums[new]) * back[new])
-        yield codes[anchor[new]].view(np.int64), content.view(np.int64), new + low, stop - new
+        content = np.frombuffer(b"".join(digests(part.tobytes(), new.tolist(), (stop + length - 1).tolist())), np.int64).reshape(-1, 2)
+        yield codes[anchor[new]].view(np.int64), content[:, 0], content[:, 1], new + low, stop - new
 
 
 # Steps over DataFrames
 
 
 class _Shards:
-    """Reads (id, text); writes shards and gives (shard, k, c, g, n): each stretch's shard, hashes, start in it and windows.
+    """Reads (id, text); writes shards and gives (shard, k, c, d, g, n, times): each stretch's shard, hashes, start in it and windows.
 
-    A row with n = 0 stands for the shard itself.
+    Of stretches of the shard that are equal one row stands for all, which are so many; rows with times = 0 are runs of
+    windows that are known to occur elsewhere: these stretches', and one of none for the shard itself.
     """
 
     def __init__(self, folder: str, length: int):
         self.folder, self.length = folder, length
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(__name__)
         held, size = [], 0
         for batch in batches:
             rows = batch.num_rows
@@ -145,18 +157,27 @@ class _Shards:
             yield from self.shard(held)
 
     def shard(self, held: list) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
         shard = uuid4().int >> 65
         raw = [t for _, part in held for t in part]
-        files, folder = FileSystem.from_uri(self.folder)
+        files, folder = file_system(self.folder)
         with files.open_output_stream(f"{folder}/{shard:x}") as out:
             ids = pa.chunked_array([c for c, _ in held])
             pq.write_table(pa.table({"id": ids, "text": pa.array(raw, pa.large_binary())}), out, compression="zstd", compression_level=1, use_dictionary=False, write_statistics=False)
         data = np.frombuffer(b"".join(raw), np.uint8)
-        found = [tuple(np.zeros(1, np.int64) for _ in range(4)), *stretches_of(data, np.cumsum([len(r) for r in raw]), self.length)]
-        for k, c, g, n in found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int64)), pa.array(k), pa.array(c), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "k", "c", "g", "n"])
+        found = list(stretches_of(data, np.cumsum([len(r) for r in raw]), self.length))
+        k, c, d, g, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 5
+        order = np.lexsort((d, c))
+        k, c, d, g, n = k[order], c[order], d[order], g[order], n[order]
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(c)), bool), (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+        times = np.diff(np.r_[first, len(c)])
+        known = np.repeat(times > 1, times)
+        none = np.zeros(1 + int(known.sum()), np.int64)
+        yield self.rows(shard, k[first], c[first], d[first], g[first], n[first], times)
+        yield self.rows(shard, none, none, none, np.r_[0, g[known]], np.r_[0, n[known]], none)
+
+    @staticmethod
+    def rows(shard: int, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), shard, np.int64)), *(pa.array(x.astype(np.int64)) for x in columns)], names=["shard", "k", "c", "d", "g", "n", "times"])
 
 
 class _ByShard:
@@ -182,9 +203,7 @@ class _ByShard:
             yield from self.one(shard, held)
 
     def one(self, shard: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
-        files, folder = FileSystem.from_uri(self.folder)
+        files, folder = file_system(self.folder)
         with files.open_input_file(f"{folder}/{shard:x}") as f:
             table = pq.read_table(f)
         yield from self.fn(shard, pa.Table.from_batches(held), table.column("id").combine_chunks(), table.column("text").to_pylist())
@@ -213,18 +232,39 @@ def _ranges(shard: np.ndarray, g: np.ndarray, hit: np.ndarray, owner: np.ndarray
 
 
 class _Compare:
-    """Reads stretches (k, shard, g, n, bytes) of a bucket; gives (shard, g, n): runs of windows that occur elsewhere."""
+    """Reads stretches (k, shard, g, n, bytes), sorted by k; gives (shard, g, n): runs of windows that occur elsewhere.
+
+    Stretches of neighbouring hashes share a family until that has FAMILY_WINDOWS windows; then the next one begins.
+    """
 
     def __init__(self, length: int):
         self.length = length
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+        release(__name__)
+        held, windows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]).tolist()
+            counts = np.add.reduceat(n, starts).tolist()
+            first = 0
+            for at, more in zip(starts, counts):
+                goes_on = at == 0 and held and held[-1].column(0)[-1].as_py() == k[0]
+                if not goes_on and windows + more > FAMILY_WINDOWS and windows:
+                    if at > first:
+                        held.append(batch.slice(first, at - first))
+                    yield from self.compared(held)
+                    held, windows, first = [], 0, at
+                windows += more
+            held.append(batch.slice(first))
+        if held:
+            yield from self.compared(held)
+
+    def compared(self, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, g, n = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (1, 2, 3))
         data = np.frombuffer(b"".join(x for b in held for x in b.column(4).to_pylist()), np.uint8)
-        del held
         owner = np.repeat(np.arange(len(n)), n)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         size = n + self.length - 1
@@ -240,42 +280,45 @@ def _pieces(length: int):
         """(k, o, core, whole, shard, g, names): runs of up to PIECE windows whose places before the anchor have o in common.
 
         core: a hash of what all windows of that place share, so windows of pieces with different cores differ; whole: a hash
-        of all their bytes; names: each window's hash.
+        of all their bytes; names: each window's hash. Hashes have 128 bits.
         """
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for k, shard, g, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(raw, np.uint8)
-                sums, back = prefix_sums(data), powers(len(data) + 1, inverse=True)
-                code = lambda x, y: mixed((sums[y] - sums[x]) * back[x]).view(np.int64)  # noqa: B023, E731
-                grams = np.arange(len(data) - ANCHOR + 1)
-                anchor = int(np.argmax(code(grams, grams + ANCHOR) == k))
-                names = code(np.arange(n), np.arange(n) + length)
-                place = (np.arange(n) - anchor) // PIECE
-                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-                last = np.r_[first[1:], n] - 1
-                low = place[first] * PIECE + anchor
-                cores = code(low + PIECE - 1, low + length)
-                wholes = code(first, last + length)
-                for column, x in zip(out, ([k] * len(first), place[first].tolist(), cores.tolist(), wholes.tolist(), [shard] * len(first), (g + first).tolist(), [names[i : j + 1].tolist() for i, j in zip(first.tolist(), last.tolist())])):
-                    column += x
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k", "o", "core", "whole", "shard", "g", "names"])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary())]
+        for wide in batches:
+            for at in range(0, wide.num_rows, 1000):
+                out: list[list] = [[], [], [], [], [], [], []]
+                for k, shard, g, n, raw in zip(*(c.to_pylist() for c in wide.slice(at, 1000).columns)):
+                    data = np.frombuffer(raw, np.uint8)
+                    sums, back = prefix_sums(data), powers(len(data) + 1, inverse=True)
+                    grams = np.arange(len(data) - ANCHOR + 1)
+                    anchor = int(np.argmax(mixed((sums[grams + ANCHOR] - sums[grams]) * back[grams]).view(np.int64) == k))
+                    names = digests(raw, list(range(n)), list(range(length, n + length)))
+                    place = (np.arange(n) - anchor) // PIECE
+                    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                    last = (np.r_[first[1:], n] - 1).tolist()
+                    low = place[first] * PIECE + anchor
+                    cores = digests(raw, (low + PIECE - 1).tolist(), (low + length).tolist())
+                    wholes = digests(raw, first.tolist(), [x + length for x in last])
+                    for column, x in zip(out, ([k] * len(first), place[first].tolist(), cores, wholes, [shard] * len(first), (g + first).tolist(), [names[i : j + 1] for i, j in zip(first.tolist(), last)])):
+                        column += x
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k", "o", "core", "whole", "shard", "g", "names"])
 
     return rows
 
 
 def _crowded(named: DataFrame, length: int, folder: str) -> DataFrame:
-    """(shard, g, n) of windows that occur elsewhere, for anchors with too many stretches to gather: by counts of hashes alone.
+    """(shard, g, n) of windows that occur elsewhere, for anchors with too many stretches to gather: by counts of 128-bit hashes.
 
     Pieces that are equal as a whole are repeated as a whole, and one stands for all. Of these, those that no other one
     shares its core with are done with; what is left, at the edges of repeated passages, is counted window by window.
+    Equal pieces of one shard are one row, so no piece has more rows than there are shards.
     """
-    pieces = _kept(named.mapInArrow(_pieces(length), "k long, o long, core long, whole long, shard long, g long, names array<long>"), f"{folder}/pieces")
+    pieces = named.mapInArrow(_pieces(length), "k long, o long, core binary, whole binary, shard long, g long, names array<binary>")
     same = ["k", "o", "whole", "n"]
-    pieces = pieces.withColumn("n", F.size("names").cast("long"))
-    equal = _kept(pieces.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("shard", "g", "core", "names")).alias("one")), f"{folder}/equal")
-    repeated = pieces.select(*same, "shard", "g").join(equal.where("times > 1").select(*same), same).select("shard", "g", "n")
+    pieces = pieces.withColumn("n", F.size("names").cast("long")).groupBy(*same, "shard").agg(F.collect_list("g").alias("all"), F.first("core").alias("core"), F.first("names").alias("names"))
+    pieces = _kept(pieces, f"{folder}/pieces")
+    one = F.min(F.struct("shard", F.array_min("all").alias("g"), "core", "names")).alias("one")
+    equal = _kept(pieces.groupBy(*same).agg(F.sum(F.size("all")).alias("times"), one), f"{folder}/equal")
+    repeated = pieces.select(*same, "shard", "all").join(equal.where("times > 1").select(*same), same).select("shard", F.explode("all").alias("g"), "n")
     single = equal.select("k", "o", "one.*")
     cores = _kept(single.groupBy("k", "o", "core").agg(F.count("*").alias("times")).where("times > 1").drop("times"), f"{folder}/cores")
     alone = single.join(cores, ["k", "o", "core"]).select("k", "shard", "g", F.posexplode("names").alias("i", "name"))
@@ -322,24 +365,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folder = f"{shared_dir(spark).rstrip('/')}/suffix-{uuid4()}"
     shards = f"{folder}/shards"
     _make(shards)
-    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_Shards(shards, length), "shard long, k long, c long, g long, n long")
+    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_Shards(shards, length), "shard long, k long, c long, d long, g long, n long, times long")
     found = _kept(found, f"{folder}/stretches")
     # counts are written before they are joined, so that a join can split a hash with very many rows
-    often = _kept(found.where("n > 0").groupBy("k").agg(F.count("*").alias("times")).where("times > 1").select("k"), f"{folder}/often")
-    shared = _kept(found.where("n > 0").join(often, "k"), f"{folder}/shared")
-    classes = shared.groupBy("k", "c").agg(F.count("*").alias("times"), F.min(F.struct("shard", "g", "n")).alias("one"))
+    often = _kept(found.where("times > 0").groupBy("k").agg(F.sum("times").alias("all")).where("all > 1").select("k"), f"{folder}/often")
+    shared = _kept(found.where("times > 0").join(often, "k"), f"{folder}/shared")
+    classes = shared.groupBy("k", "c", "d").agg(F.sum("times").alias("times"), F.count("*").alias("shards"), F.min(F.struct("shard", "g", "n")).alias("one"))
     classes = _kept(classes, f"{folder}/classes")
     several = _kept(classes.groupBy("k").agg(F.count("*").alias("classes")).where("classes > 1"), f"{folder}/several")
     open_ones = classes.join(several, "k").select("one.shard", "one.g", "one.n", "k", (F.col("classes") > crowd).alias("crowded"))
     named = _by_shard(open_ones, shards, _bytes_of(length), "k long, shard long, g long, n long, crowded boolean, bytes binary")
     named = _kept(named, f"{folder}/bytes")
     windows = named.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-windows // BUCKET_WINDOWS))
+    tasks = max(1, min(TASKS, -(-windows // FAMILY_WINDOWS)))
     columns = ["k", "shard", "g", "n", "bytes"]
-    compared = named.where("not crowded").select(*columns).repartition(buckets, "k").mapInArrow(_Compare(length), "shard long, g long, n long")
+    compared = named.where("not crowded").select(*columns).repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(_Compare(length), "shard long, g long, n long")
     counted = _crowded(named.where("crowded").select(*columns), length, folder)
-    whole = shared.join(classes.where("times > 1").select("k", "c"), ["k", "c"]).select("shard", "g", "n")
-    every = found.where("n = 0").select("shard", "g", "n")
+    whole = shared.join(classes.where("shards > 1").select("k", "c", "d"), ["k", "c", "d"]).select("shard", "g", "n")
+    every = found.where("times = 0").select("shard", "g", "n")
     schema = T.StructType([field(df, id_col, "id"), *T.StructType.fromDDL("n_bytes long, spans array<struct<start: long, end: long>>, kept binary").fields])
     cut = _by_shard(every.unionByName(whole).unionByName(compared).unionByName(counted), shards, _cut(length, None), schema)
     return cut.withColumnRenamed("id", id_col)
@@ -350,9 +393,7 @@ def _by_shard(rows: DataFrame, shards: str, fn, schema) -> DataFrame:
 
 
 def _make(folder: str) -> None:
-    from pyarrow.fs import FileSystem
-
-    files, path = FileSystem.from_uri(folder)
+    files, path = file_system(folder)
     files.create_dir(path, recursive=True)
 
 

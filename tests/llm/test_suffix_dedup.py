@@ -25,8 +25,8 @@ def corpus(seed, n=40):
     return out
 
 
-def results(spark, texts, **more):
-    got = D.digest_columns(D.remove_repeats(clashing(documents(spark, texts)).repartition(3), **more)).collect()
+def results(spark, texts, parts=3, **more):
+    got = D.digest_columns(D.remove_repeats(clashing(documents(spark, texts)).repartition(parts), **more)).collect()
     assert len(got) == len(texts)
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got}
 
@@ -37,6 +37,49 @@ def test_brute_force(spark, crowd):
     assert results(spark, texts, crowd=crowd) == dict(enumerate(D.brute_force(texts)))
 
 
+def thue_morse(order):
+    a, b = "a", "b"
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark, monkeypatch):
+    """Strings of one hash modulo 2 ** 64, in one shard and in several, by families and by counts; small families and shards."""
+    texts = [x for order in (8, 9, 10, 11) for x in thue_morse(order)] + ["pre " + thue_morse(10)[0], thue_morse(10)[1][:900] + " post"]
+    want = dict(enumerate(D.brute_force(texts)))
+    monkeypatch.setattr(D, "FAMILY_WINDOWS", 500)
+    assert results(spark, texts, parts=1) == want
+    assert results(spark, texts, parts=4, crowd=1) == want
+
+
+def test_copies_within_and_across_shards(spark, monkeypatch):
+    """Copies that shards find by themselves, and those that only counts over shards tell."""
+    monkeypatch.setattr(D, "SHARD_BYTES", 2000)
+    texts = corpus(4, 12) * 3
+    assert results(spark, texts, parts=2) == dict(enumerate(D.brute_force(texts)))
+
+
+def test_families_of_a_task(spark):
+    """One task has many families, one after the other, whose borders are those of hashes."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows = [(k, 0, 1000 * k + 300 * j, 3, bytes(rng.integers(97, 99, 7, np.uint8))) for k in range(40) for j in range(int(rng.integers(1, 9)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["k", "shard", "g", "n", "bytes"])
+    found = set()
+    D.FAMILY_WINDOWS, kept = 20, D.FAMILY_WINDOWS
+    try:
+        for out in D._Compare(5)(iter([batch.slice(i, 7) for i in range(0, len(rows), 7)])):
+            for _, g, n in zip(*(c.to_pylist() for c in out.columns)):
+                found |= set(range(g, g + n))
+    finally:
+        D.FAMILY_WINDOWS = kept
+    windows = [(k, g + i, raw[i : i + 5]) for k, _, g, _, raw in rows for i in range(3)]
+    assert {g for k, g, w in windows if sum(w == x and k == y for y, _, x in windows) > 1} <= found
+    assert found <= {g for _, g, w in windows if sum(w == x for *_, x in windows) > 1}
+
+
 def test_tables(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = D.digest_columns(D.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"))).collect()
