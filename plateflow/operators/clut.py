@@ -1,7 +1,8 @@
 """Colour lookup tables: built from expressions, and interpolated by joins on node numbers.
 
-Every table here has a fixed number of nodes (625, 125, 35,937 or 256), so it is broadcast, and a lookup joins it once for
-each vertex of the simplex around a point: no shuffle, whatever the number of pixels.
+Every table here has a fixed number of nodes (625, 125, 35,937 or 256). It becomes one row of arrays, one for each value,
+which is broadcast once; the vertices of the simplex around a point are elements of these arrays, so a lookup is arithmetic
+within generated code: no shuffle, and no join on nodes, whatever the number of pixels.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, ink
-from ..functions.numeric import clamp, half_up, to_byte
+from ..functions import color
+from ..functions.numeric import clamp, half_up, to_byte, transform3
+from .plates import limit_inks
 
 INKS = ("c", "m", "y", "k")
 
@@ -50,58 +52,62 @@ def lab_to_cmyk_table(spark: SparkSession) -> DataFrame:
     return g.select("node", *[to_byte(v).alias(n) for v, n in zip(inks, INKS)])
 
 
-def _vertex(pixels: DataFrame, table: DataFrame, node: Column, i: int, values: list[str], divide: float | None) -> DataFrame:
-    scale = (lambda v: F.col(v) / F.lit(divide)) if divide else F.col
-    t = F.broadcast(table.select(F.col("node").alias(f"__n{i}"), *[scale(v).alias(f"__{v}{i}") for v in values]))
-    return pixels.join(t, node == F.col(f"__n{i}")).drop(f"__n{i}")
+def _with_table(pixels: DataFrame, table: DataFrame, values: list[str], divide: float | None) -> DataFrame:
+    """pixels with the table's values as arrays by node (__t_...); the table has a row for each node, so it is one row of arrays."""
+    nodes = table.agg(F.sort_array(F.collect_list(F.struct("node", *[F.col(v).cast("double").alias(v) for v in values]))).alias("t"))
+    scaled = lambda v: F.transform(F.col("t")[v], lambda x: x / F.lit(divide)) if divide else F.col("t")[v]
+    return pixels.crossJoin(F.broadcast(nodes.select(*[scaled(v).alias(f"__t_{v}") for v in values])))
+
+
+def _interpolated(p: DataFrame, values: list[str], nodes: list[str], weights: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """The sums of the tables' values at nodes by weights, added up in that order; the arrays go."""
+    kept = [c for c in p.columns if not c.startswith("__")]
+    sums = []
+    for v in values:
+        total = F.get(f"__t_{v}", F.col(nodes[0])) * weights[0]
+        for node, w in zip(nodes[1:], weights[1:]):
+            total = total + F.get(f"__t_{v}", F.col(node)) * w
+        sums.append(total.alias(f"__{v}"))
+    return p.select(*kept, *sums), [F.col(f"__{v}") for v in values]
 
 
 def tetrahedral(pixels: DataFrame, table: DataFrame, n: int, place: tuple[Column, Column, Column], values: list[str], divide: float | None = 255.0, scaled: bool = False) -> tuple[DataFrame, list[Column]]:
-    """pixels with the table's values at four vertices each, and the interpolated values as Columns of that.
+    """pixels with the interpolated values, and these as Columns of that.
 
     place: unit coordinates (or, if scaled, grid coordinates). Vertices are walked from the cell's corner along the axes in
     descending order of what remains; on equal rests any order gives equal values.
     """
     at = place if scaled else tuple(clamp(v) * F.lit(float(n - 1)) for v in place)
-    p = pixels.withColumns({f"__s{i}": v for i, v in enumerate(at)})
-    p = p.withColumns({f"__i{i}": F.least(F.floor(f"__s{i}"), F.lit(n - 2)).cast("long") for i in range(3)})
-    x, y, z = (F.col(f"__s{i}") - F.col(f"__i{i}") for i in range(3))
+    kept = [c for c in pixels.columns if not c.startswith("__")]
+    p = pixels.select(*kept, *[v.alias(f"__s{i}") for i, v in enumerate(at)])
+    p = p.select("*", *[F.least(F.floor(f"__s{i}"), F.lit(n - 2)).cast("int").alias(f"__i{i}") for i in range(3)])
+    p = p.select(*kept, ((F.col("__i0") * n + F.col("__i1")) * n + F.col("__i2")).alias("__a"), *[(F.col(f"__s{i}") - F.col(f"__i{i}")).alias(f"__r{i}") for i in range(3)])
+    x, y, z = (F.col(f"__r{i}") for i in range(3))
     top = F.when((x >= y) & (x >= z), F.lit(n * n)).when(y >= z, F.lit(n)).otherwise(F.lit(1))
     low = F.when((z <= x) & (z <= y), F.lit(1)).when(y <= x, F.lit(n)).otherwise(F.lit(n * n))
-    base = (F.col("__i0") * n + F.col("__i1")) * n + F.col("__i2")
     whole = n * n + n + 1
-    p = p.withColumns({"__a": base, "__b": base + top, "__c": base + whole - low, "__d": base + whole, "__d1": F.greatest(x, y, z), "__d2": F.greatest(F.least(x, y), F.least(F.greatest(x, y), z)), "__d3": F.least(x, y, z)})
-    for i, node in enumerate(("__a", "__b", "__c", "__d")):
-        p = _vertex(p, table, F.col(node), i, values, divide)
+    rests = (F.greatest(x, y, z), F.greatest(F.least(x, y), F.least(F.greatest(x, y), z)), F.least(x, y, z))
+    p = p.select(*kept, "__a", (F.col("__a") + top).alias("__b"), (F.col("__a") + whole - low).alias("__c"), (F.col("__a") + whole).alias("__d"), *[r.alias(f"__d{i}") for i, r in enumerate(rests, 1)])
     d1, d2, d3 = F.col("__d1"), F.col("__d2"), F.col("__d3")
-    weights = (F.lit(1.0) - d1, d1 - d2, d2 - d3, d3)
-    out = []
-    for v in values:
-        terms = [F.col(f"__{v}{i}") * w for i, w in enumerate(weights)]
-        out.append(terms[0] + terms[1] + terms[2] + terms[3])
-    return p, out
+    return _interpolated(_with_table(p, table, values, divide), values, ["__a", "__b", "__c", "__d"], [F.lit(1.0) - d1, d1 - d2, d2 - d3, d3])
 
 
 def simplex4(pixels: DataFrame, table: DataFrame, n: int, place: tuple[Column, ...], values: list[str], divide: float | None = 255.0) -> tuple[DataFrame, list[Column]]:
-    """The same on four axes."""
-    p = pixels.withColumns({f"__s{i}": clamp(v) * F.lit(float(n - 1)) for i, v in enumerate(place)})
-    p = p.withColumns({f"__i{i}": F.least(F.floor(f"__s{i}"), F.lit(n - 2)).cast("long") for i in range(4)})
-    steps = [n**3, n**2, n, 1]
-    walk = F.sort_array(F.array(*[F.struct((F.col(f"__s{i}") - F.col(f"__i{i}")).alias("d"), F.lit(s).alias("o")) for i, s in enumerate(steps)]), asc=False)
+    """The same on four axes, whose order comes from their ranks: by what remains, of equal rests the longer step first."""
+    kept = [c for c in pixels.columns if not c.startswith("__")]
+    p = pixels.select(*kept, *[(clamp(v) * F.lit(float(n - 1))).alias(f"__s{i}") for i, v in enumerate(place)])
+    p = p.select("*", *[F.least(F.floor(f"__s{i}"), F.lit(n - 2)).cast("int").alias(f"__i{i}") for i in range(4)])
     base = ((F.col("__i0") * n + F.col("__i1")) * n + F.col("__i2")) * n + F.col("__i3")
-    p = p.withColumns({"__w": walk, "__m0": base})
-    p = p.withColumns({"__m1": F.col("__m0") + F.col("__w")[0]["o"]})
-    p = p.withColumns({"__m2": F.col("__m1") + F.col("__w")[1]["o"]})
-    p = p.withColumns({"__m3": F.col("__m2") + F.col("__w")[2]["o"], "__m4": F.col("__m2") + F.col("__w")[2]["o"] + F.col("__w")[3]["o"]})
-    for i in range(5):
-        p = _vertex(p, table, F.col(f"__m{i}"), i, values, divide)
-    d = [F.col("__w")[i]["d"] for i in range(4)]
-    weights = (F.lit(1.0) - d[0], d[0] - d[1], d[1] - d[2], d[2] - d[3], d[3])
-    out = []
-    for v in values:
-        terms = [F.col(f"__{v}{i}") * w for i, w in enumerate(weights)]
-        out.append(terms[0] + terms[1] + terms[2] + terms[3] + terms[4])
-    return p, out
+    p = p.select(*kept, base.alias("__m0"), *[(F.col(f"__s{i}") - F.col(f"__i{i}")).alias(f"__r{i}") for i in range(4)])
+    rest = [F.col(f"__r{i}") for i in range(4)]
+    before = lambda i, j: (rest[j] >= rest[i] if j < i else rest[j] > rest[i]).cast("int")
+    p = p.select("*", *[sum((before(i, j) for j in range(4) if j != i), F.lit(0)).alias(f"__k{i}") for i in range(4)])
+    steps = [n**3, n**2, n, 1]
+    of_rank = lambda r, what: F.when(F.col("__k0") == r, what[0]).when(F.col("__k1") == r, what[1]).when(F.col("__k2") == r, what[2]).otherwise(what[3])
+    p = p.select(*kept, "__m0", *[of_rank(r, [F.lit(s) for s in steps]).alias(f"__o{r}") for r in range(4)], *[of_rank(r, rest).alias(f"__d{r}") for r in range(4)])
+    p = p.select("*", (F.col("__m0") + F.col("__o0")).alias("__m1"), (F.col("__m0") + F.col("__o0") + F.col("__o1")).alias("__m2"), (F.col("__m0") + F.lit(sum(steps)) - F.col("__o3")).alias("__m3"), (F.col("__m0") + F.lit(sum(steps))).alias("__m4"))
+    d = [F.col(f"__d{r}") for r in range(4)]
+    return _interpolated(_with_table(p, table, values, divide), values, [f"__m{i}" for i in range(5)], [F.lit(1.0) - d[0], d[0] - d[1], d[1] - d[2], d[2] - d[3], d[3]])
 
 
 def lab_place(lab: tuple[Column, ...]) -> tuple[Column, ...]:
@@ -114,8 +120,10 @@ def lab_to_cmyk(pixels: DataFrame, lab: tuple[Column, ...]) -> tuple[DataFrame,
 
 def rgb_to_cmyk(pixels: DataFrame, rgb: tuple[Column, ...]) -> tuple[DataFrame, list[Column]]:
     """Unit sRGB through the profiles: curve, matrix, XYZ, Lab, table."""
-    lab = color.xyz_to_lab(color.rgb_to_xyz(rgb))
-    p = pixels.withColumns({f"__lab{i}": v for i, v in enumerate(lab)})
+    kept = pixels.columns
+    p = pixels.select(*kept, *[color.SRGB.evaluate(v).alias(f"__l{i}") for i, v in enumerate(rgb)])
+    p = p.select(*kept, *[v.alias(f"__x{i}") for i, v in enumerate(transform3(color.srgb_matrix(), tuple(F.col(f"__l{i}") for i in range(3))))])
+    p = p.select(*kept, *[v.alias(f"__lab{i}") for i, v in enumerate(color.xyz_to_lab(tuple(F.col(f"__x{i}") for i in range(3))))])
     return lab_to_cmyk(p, tuple(F.col(f"__lab{i}") for i in range(3)))
 
 
@@ -129,8 +137,7 @@ def device_link(spark: SparkSession, percent: float | None = 300.0, n: int = 33)
     g = _grid(spark, n, ["r", "g", "b"])
     p, inks = rgb_to_cmyk(g, tuple(F.col(v) / F.lit(float(n - 1)) for v in ("r", "g", "b")))
     p = p.select("node", *[clamp(v).alias(n_) for v, n_ in zip(inks, INKS)])
-    limited = ink.limit(tuple(F.col(v) for v in INKS), percent) if percent else tuple(F.col(v) for v in INKS)
-    return p.select("node", *[to_byte(v).alias(n_) for v, n_ in zip(limited, INKS)])
+    return limit_inks(p, percent or None).select("node", *[to_byte(F.col(v)).alias(v) for v in INKS])
 
 
 def apply_device_link(pixels: DataFrame, link: DataFrame, rgb: tuple[Column, ...], n: int = 33) -> tuple[DataFrame, list[Column]]:
@@ -145,5 +152,4 @@ def gray_table(spark: SparkSession, percent: float | None = 300.0) -> DataFrame:
     t = spark.range(256).withColumnRenamed("id", "v")
     p, inks = rgb_to_cmyk(t, (F.col("v") / 255.0,) * 3)
     p = p.select("v", *[clamp(x).alias(n) for x, n in zip(inks, INKS)])
-    limited = ink.limit(tuple(F.col(x) for x in INKS), percent) if percent else tuple(F.col(x) for x in INKS)
-    return p.select("v", *[to_byte(x).alias(n) for x, n in zip(limited, INKS)])
+    return limit_inks(p, percent or None).select("v", *[to_byte(F.col(x)).alias(x) for x in INKS])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, ink
 from ..functions.numeric import to_byte
-from ..operators.plates import split_plates, usage
+from ..operators.plates import limit_inks, split_plates, usage
 from .views import CMYK, KEY, cmyk, named
 
 QUERIES: dict = {}
@@ -40,7 +40,7 @@ def _limits():
     for name, percent in ink.LIMITS.items():
 
         def query(spark, sf_dir, percent=percent):
-            return cmyk(spark, sf_dir).select(*KEY, *rounded(ink.limit(inks(), percent)))
+            return limit_inks(cmyk(spark, sf_dir), percent).select(*KEY, *rounded(inks()))
 
         named(QUERIES, SQL, f"tac_limit_{name}", f"WITH {limit_sql(percent)} SELECT l_orderkey, l_linenumber, round(c, 6) AS c, round(m, 6) AS m, round(y, 6) AS y, round(k, 6) AS k FROM limited")(query)
 
@@ -52,8 +52,7 @@ LONG = "SELECT l_orderkey, l_linenumber, 'Cyan' AS plate, c AS v FROM bytes UNIO
 
 
 def limited_bytes(spark, sf_dir):
-    t = cmyk(spark, sf_dir)
-    return t.select(*KEY, *[to_byte(v).alias(n) for v, n in zip(ink.limit(inks()), INKS)])
+    return limit_inks(cmyk(spark, sf_dir)).select(*KEY, *[to_byte(v).alias(n) for v, n in zip(inks(), INKS)])
 
 
 @named(QUERIES, SQL, "plate_ink_usage", f"WITH {limit_sql(300.0)}, bytes AS (SELECT l_orderkey, l_linenumber, {BYTES} FROM limited), plates AS ({LONG}) SELECT plate, count(*) AS pixels, sum(v)::BIGINT AS ink, max(v) AS darkest, round(avg(v), 6) AS mean, count(*) FILTER (v = 0) AS blank FROM plates GROUP BY plate")
