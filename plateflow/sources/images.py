@@ -6,11 +6,12 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, layered_files, office, pdf, raster_files, raw_files, vector_files
+from . import fonts, icc, jpeg, layered_files, office, pdf, raster_files, raw_files, vector_files
 from .containers import Archive, sqlite_tables
 from .model import Damaged, Image, Unsupported
 
@@ -187,9 +188,106 @@ def database_rows(source: DataFrame) -> DataFrame:
     return _mapped(source, rows, "table string, row int, values string")
 
 
+def sizes(source: DataFrame) -> DataFrame:
+    """Each raster's size; of WebP files, whose samples aren't read, that of the head."""
+
+    def rows(data: bytes) -> list[dict]:
+        kind = kind_of(data)
+        if kind == "webp":
+            width, height, alpha = raster_files.webp_size(data)
+            return [{"kind": kind, "width": width, "height": height, "alpha": alpha}]
+        image = decode_image(data, kind)
+        return [{"kind": kind, "width": image.width, "height": image.height, "alpha": image.alpha}]
+
+    return _mapped(source, rows, "kind string, width int, height int, alpha boolean")
+
+
+def drawings(source: DataFrame) -> DataFrame:
+    """Each drawing's size in points, number of pages and of paths, and text."""
+
+    def rows(data: bytes) -> list[dict]:
+        kind = kind_of(data)
+        d = decode_drawing(data, kind)
+        return [{"kind": kind, "width": d.width, "height": d.height, "n_pages": d.pages, "n_paths": len(d.paths), "text": d.text}]
+
+    return _mapped(source, rows, "kind string, width double, height double, n_pages int, n_paths int, text string")
+
+
+def profiles(source: DataFrame) -> DataFrame:
+    """Each ICC profile's head, and the names of its tags."""
+
+    def rows(data: bytes) -> list[dict]:
+        p = icc.parse(data)
+        return [{"version": p.version, "device": p.device, "space": p.space, "pcs": p.pcs, "is_matrix": p.is_matrix, "is_table": p.is_table, "tags": sorted(p.tags)}]
+
+    return _mapped(source, rows, "version string, device string, space string, pcs string, is_matrix boolean, is_table boolean, tags array<string>")
+
+
+def profile_numbers(source: DataFrame) -> DataFrame:
+    """A row for each curve and each XYZ value of ICC profiles: tag, kind (gamma, table, parametric and its type, XYZ) and numbers."""
+
+    def rows(data: bytes) -> list[dict]:
+        out = []
+        for tag, raw in icc.parse(data).tags.items():
+            if raw[:4] in (b"curv", b"para"):
+                kind, *rest = icc.curve(raw)
+                numbers = rest[-1] if isinstance(rest[-1], list) else [rest[-1]]
+                out.append({"tag": tag, "kind": f"{kind} {rest[0]}" if kind == "parametric" else kind, "numbers": numbers})
+            elif raw[:4] == b"XYZ ":
+                out.append({"tag": tag, "kind": "XYZ", "numbers": list(icc.xyz(raw))})
+        return out
+
+    return _mapped(source, rows, "tag string, kind string, numbers array<double>")
+
+
+def through_profiles(source: DataFrame, tag: str, points: list[tuple[float, ...]]) -> DataFrame:
+    """Unit values through a table (A2B0, B2A0, ...) of ICC profiles: a row for each profile and point."""
+
+    def rows(data: bytes) -> list[dict]:
+        found = icc.parse(data).tags
+        if tag not in found:
+            raise Unsupported(f"no table {tag}")
+        out = icc.evaluate(icc.table(found[tag]), np.array(points, float))
+        return [{"point": i, "result": v} for i, v in enumerate(out.tolist())]
+
+    return _mapped(source, rows, "point int, result array<double>")
+
+
+def glyphs(source: DataFrame, text: str) -> DataFrame:
+    """A row for each point of the outlines of a text's characters in TrueType fonts, in font units."""
+
+    def rows(data: bytes) -> list[dict]:
+        font = fonts.TrueType(data)
+        return [{"ord": k, "character": c, "glyph": font.map.get(ord(c), 0), "contour": i, "point": j, "x": x, "y": y, "on": on} for k, c in enumerate(text) for i, contour in enumerate(font.glyph(font.map.get(ord(c), 0)).contours) for j, (x, y, on) in enumerate(contour)]
+
+    return _mapped(source, rows, "ord int, character string, glyph int, contour int, point int, x double, y double, `on` boolean")
+
+
+def text_paths(source: DataFrame, text: str, size: float) -> DataFrame:
+    """A line of text as path commands, in each TrueType font: a row for each command."""
+
+    def rows(data: bytes) -> list[dict]:
+        return [{"ord": i, "op": op, "args": args} for i, (op, args) in enumerate(fonts.text_outline(fonts.TrueType(data), text, size))]
+
+    return _mapped(source, rows, "ord int, op string, args array<double>")
+
+
+def charstrings(source: DataFrame) -> DataFrame:
+    """The path commands of Type 2 charstrings, one in each file."""
+    return _mapped(source, lambda data: [{"ord": i, "op": op, "args": args} for i, (op, args) in enumerate(fonts.charstring(data))], "ord int, op string, args array<double>")
+
+
 def pixels(source: DataFrame) -> DataFrame:
-    """(path, y, x, v): the samples of 8-bit images, one row for a pixel."""
-    at = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i")
-    t = source.where("error IS NULL AND bits = 8").select("path", "width", "channels", "data", at)
-    byte = lambda c: F.conv(F.hex(F.substring("data", F.col("i") * F.col("channels") + c + 1, 1)), 16, 10).cast("int")
-    return t.select("path", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), F.transform(F.sequence(F.lit(0), F.col("channels") - 1), lambda c: byte(c)).alias("v"))
+    """(path, y, x, v): the samples of 8-bit images, one row for a pixel. Samples are cut apart once, not for each pixel."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, width, height, channels, data in zip(*(c.to_pylist() for c in batch.columns)):
+                samples = np.frombuffer(data, np.uint8)[: width * height * channels].reshape(-1, channels)
+                for i in range(0, len(samples), 1 << 16):
+                    part = samples[i : i + (1 << 16)].astype(np.int32)
+                    at = np.arange(i, i + len(part), dtype=np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, channels, dtype=np.int32)), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(at // width), pa.array(at % width), values], names=["path", "y", "x", "v"])
+
+    return source.where("error IS NULL AND bits = 8").select("path", "width", "height", "channels", "data").mapInArrow(cut, "path string, y int, x int, v array<int>")
