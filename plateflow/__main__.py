@@ -43,9 +43,8 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 
 def main(argv: list[str]) -> int:
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
-    from .plans.convert import Options, convert, report
+    from .plans.convert import Options, apart, convert, report
     from .sinks.files import save
     from .sources.images import files
 
@@ -53,8 +52,7 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("plateflow").getOrCreate()
     options = Options(format=a.format, dpi=a.dpi, tac=a.tac, pages=a.pages or None, split=a.split, proofs=a.proofs, proof_format=a.proof_format, quality=a.quality, job=a.job)
     made = convert(files(spark, a.input), options).persist()
-    named = made.withColumn("filename", F.concat(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""), F.lit("/"), "filename"))
-    save(named.where("error IS NULL"), a.output)
+    save(apart(made.where("error IS NULL")), a.output)
     failed = made.where("error IS NOT NULL").select("path", "error")
     for r in failed.toLocalIterator():
         print(f"{r['path']}: {r['error']}", file=sys.stderr)

@@ -70,6 +70,13 @@ def number(v: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.3f", F.round(v, 3) + F.lit(0.0)), r"0+$", ""), r"\.$", "")
 
 
+def pdf_path(commands: Column) -> Column:
+    """PDF path operators of commands (op, args): operands with three decimals, an operator to a line."""
+    operator = lambda c: F.when(c["op"] == "M", F.lit("m")).when(c["op"] == "L", F.lit("l")).when(c["op"] == "C", F.lit("c")).otherwise(F.lit("h"))
+    operands = lambda c: F.array_join(F.transform(c["args"], lambda v: F.format_string("%.3f", v)), " ")
+    return F.array_join(F.transform(commands, lambda c: F.when(F.size(c["args"]) > 0, F.concat(operands(c), F.lit(" "), operator(c))).otherwise(operator(c))), "\n")
+
+
 def path_data(commands: Column) -> Column:
     """SVG path data of commands (op, args)."""
     return F.array_join(F.transform(commands, lambda c: F.concat(c["op"], F.when(F.size(c["args"]) > 0, F.concat(F.lit(" "), F.array_join(F.transform(c["args"], number), " "))).otherwise(F.lit("")))), " ")

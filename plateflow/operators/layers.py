@@ -40,6 +40,35 @@ def composite(layers: DataFrame, points: list[tuple[int, int]], paper: float = 1
     return stack.select("image", "x", "y", to_byte(F.round(F.aggregate("stack", F.lit(paper), over), 9)).alias("v"))
 
 
+def composite_samples(layers: DataFrame, samples: DataFrame, paper: list[float]) -> DataFrame:
+    """(image, x, y, v: an array of bytes): the layers' own pixels, blended in the order of z over the paper.
+
+    layers: (image, z, opacity, mode, visible, folder, clipping); samples: (image, z, x, y, s: an array of bytes, one for each
+    channel, be they of light or of ink, alpha, mask), alpha and mask being bytes or null (255). Folders and layers that can't
+    be seen are left out; a clipping layer's alpha is multiplied by its base's at the pixel. Pixels without a sample aren't
+    listed. The rows of one pixel, one for each layer, are folded together.
+    """
+    based = clip_bases(layers.where("not folder")).select("image", "z", "base_z", "opacity", "mode")
+    unit = lambda c: F.coalesce(F.col(c) / F.lit(255.0), F.lit(1.0))
+    rows = samples.join(based, ["image", "z"]).select("image", "x", "y", "z", "base_z", "mode", F.transform("s", lambda v: v / F.lit(255.0)).alias("s"), (clamp(F.col("opacity")) * unit("alpha") * unit("mask")).alias("a"))
+    stack = rows.groupBy("image", "x", "y").agg(F.array_sort(F.collect_list(F.struct("z", "base_z", "mode", "s", "a"))).alias("stack"))
+    base = lambda t: F.coalesce(F.aggregate("stack", F.lit(0.0), lambda a, u: F.when(u["z"] == t["base_z"], u["a"]).otherwise(a)), F.lit(0.0))
+    clipped = F.transform("stack", lambda t: F.struct(t["mode"].alias("mode"), t["s"].alias("s"), (t["a"] * F.when(t["base_z"].isNull(), F.lit(1.0)).otherwise(base(t))).alias("a")))
+    one = lambda b, s, t: F.when(t["a"] <= 0, b).otherwise(blend.blended(blend.blend_by(t["mode"], b, s), b, F.lit(1.0), s, t["a"]))
+    seen = F.aggregate("stack", F.array(*[F.lit(v) for v in paper]), lambda c, t: F.zip_with(c, t["s"], lambda b, s: one(b, s, t)))
+    return stack.select("image", "x", "y", clipped.alias("stack")).select("image", "x", "y", F.transform(seen, lambda v: to_byte(F.round(v, 9))).alias("v"))
+
+
+def flattened(cells: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(image, x0, y0, w, h, x, y, ...): the composited pixels of each region that isn't opaque; what is opaque stays as it is.
+
+    cells: regions() or merge_regions(); pixels: (image, x, y, ...) of whole canvases. A join on the image, of whose regions
+    each pixel lies in one.
+    """
+    some = cells.where("transparent").select("image", "x0", "y0", "w", "h")
+    return pixels.join(some, "image").where(covers("", F.col("x"), F.col("y")))
+
+
 def regions(layers: DataFrame, width: int, height: int, transparent=None) -> DataFrame:
     """(image, x0, y0, w, h, layers, transparent): the cells between the layers' edges, cell by cell.
 

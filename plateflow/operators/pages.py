@@ -22,10 +22,19 @@ def page_numbers(ranges: Column) -> Column:
     return F.flatten(F.transform(F.split(F.coalesce(ranges, F.lit("")), ","), numbers))
 
 
-def select_pages(pages: DataFrame, wanted: list[int]) -> DataFrame:
-    """Pages (doc, page_number, ...) by a list of numbers: position is a page's place in it, and repeated numbers repeat pages."""
+def select_pages(pages: DataFrame, wanted: list[int], strict: bool = False) -> DataFrame:
+    """Pages (doc, page_number, ...) by a list of numbers: position is a page's place in it, and repeated numbers repeat pages.
+
+    strict: a document that lacks one of them is an error, when the rows are read.
+    """
     at = F.posexplode(F.array(*[F.lit(n).cast("long") for n in wanted])).alias("position", "page_number")
-    return pages.sparkSession.range(1).select(at).hint("broadcast").join(pages, "page_number")
+    found = pages.sparkSession.range(1).select(at).hint("broadcast").join(pages, "page_number")
+    if not strict:
+        return found
+    own = pages.groupBy("doc").agg(F.count_distinct(F.when(F.col("page_number").isin(wanted), F.col("page_number"))).alias("__found"))
+    said = F.concat(F.lit("document "), F.col("doc").cast("string"), F.lit(f" lacks some of the pages {list(wanted)}"))
+    all_there = F.when(F.col("__found") < len(set(wanted)), F.raise_error(said)).otherwise(F.lit(True))
+    return own.where(all_there).select("doc").join(found, "doc")
 
 
 def natural_key(name: Column) -> Column:
@@ -40,6 +49,39 @@ def digits_key(name: Column) -> Column:
     return F.when(digits != "", digits).cast("long")
 
 
+def in_order(files: DataFrame, doc: str, key: Column, *more: str) -> DataFrame:
+    """files with `place`: each one's place in its document, by a key such as natural_key() and further columns."""
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy(key, *more)).cast("long"))
+
+
+def spine(references: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The files of a book's spine: references (book, position, item) to manifest items (item, entry) to files (entry, file).
+
+    Items that the manifest lacks, and entries that aren't there, are left out; an item that comes again comes again.
+    """
+    return references.join(manifest, "item").join(files, "entry").select("book", "position", "item", "file")
+
+
+def inherit(nodes: DataFrame) -> DataFrame:
+    """(node, depth, box): a tree's nodes (node, parent, box) with the box of the nearest node above that has one, or their own.
+
+    A recursive query: each round joins the nodes of one depth with their children, so rounds are the tree's depth.
+    """
+    return nodes.sparkSession.sql(
+        """WITH RECURSIVE walk(node, depth, box) AS (SELECT node, 0, box FROM {nodes} WHERE parent IS NULL
+        UNION ALL SELECT t.node, w.depth + 1, coalesce(t.box, w.box) FROM {nodes} t JOIN walk w ON t.parent = w.node) SELECT node, depth, box FROM walk""",
+        nodes=nodes,
+    )
+
+
+def order_statistics(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, n, mean, ...): of each group's sorted values the one at floor(n * share), by the names of shares."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"))
+    ranked = rows.withColumn("__at", F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1).join(counts, group)
+    pick = lambda share: F.round(F.max(F.when(F.col("__at") == F.floor(F.col("n") * F.lit(share)), F.col(value))), 6)
+    return ranked.groupBy(group, "n", "mean").agg(*[pick(s).alias(n) for n, s in shares.items()])
+
+
 def proof_names(pages: DataFrame, dpis: list[str], extension: str, main_extension: str | None) -> DataFrame:
     """(doc, page_number, dpi, name): a proof of each page at each resolution, named apart from the page's own file.
 

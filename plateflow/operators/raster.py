@@ -30,18 +30,27 @@ def demosaic(images: DataFrame, pattern: str, width: int, height: int, black: fl
     itself. Values are normalised, balanced, and written with sRGB's curve. An image is an array, so nothing is shuffled.
     """
     gains = dict(zip("rgb", balance))
+    last = F.lit(height - 1)
+    line = lambda y: F.slice("cells", F.greatest(F.lit(0), F.least(last, y)) * width + 1, F.lit(width))
+    # an image becomes its lines with those above and below, and a line its cells with their neighbours: no cell has the whole
+    rows = images.select("image", F.explode(F.transform(F.sequence(F.lit(0), last), lambda y: F.struct(y.alias("y"), line(y - 1).alias("n"), line(y).alias("o"), line(y + 1).alias("s")))).alias("l")).select("image", "l.*")
+    shifted = lambda c, by: c if not by else F.concat(F.array(c[0]), F.slice(c, 1, width - 1)) if by < 0 else F.concat(F.slice(c, 2, width - 1), F.array(c[width - 1]))
+    near = [shifted(F.col(c), by).alias(f"{c}{by + 1}") for c in ("n", "o", "s") for by in (-1, 0, 1)]
+    cells = rows.select("image", "y", F.posexplode(F.arrays_zip(*near)).alias("x", "c"))
     y, x = F.col("y"), F.col("x")
 
     def at(dy: int, dx: int) -> Column:
-        row, col = F.greatest(F.lit(0), F.least(F.lit(height - 1), y + dy)), F.greatest(F.lit(0), F.least(F.lit(width - 1), x + dx))
+        row, col = F.greatest(F.lit(0), F.least(last, y + dy)), F.greatest(F.lit(0), F.least(F.lit(width - 1), x + dx))
         gain = F.lit(gains["g"])
         for c in "rb":
             gain = F.when(cell(pattern, row, col) == c, F.lit(gains[c])).otherwise(gain)
-        level = F.greatest(F.lit(0.0), F.element_at("cells", (row * width + col + 1).cast("int")) - F.lit(black)) / F.lit(max(1.0, white - black))
+        level = F.greatest(F.lit(0.0), F.col("c")[f"{'nos'[dy + 1]}{dx + 1}"] - F.lit(black)) / F.lit(max(1.0, white - black))
         return F.least(F.lit(1.0), level * gain)
 
-    mean = lambda *places: sum((at(*p) for p in places[1:]), at(*places[0])) / F.lit(float(len(places)))
-    own, cross, corners = at(0, 0), mean((-1, 0), (1, 0), (0, -1), (0, 1)), mean((-1, -1), (-1, 1), (1, -1), (1, 1))
+    # each neighbour's level once, then the means by name
+    cells = cells.select("image", "y", "x", *[at(dy, dx).alias(f"l{dy + 1}{dx + 1}") for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    mean = lambda *places: sum((F.col(f"l{p[0] + 1}{p[1] + 1}") for p in places[1:]), F.col(f"l{places[0][0] + 1}{places[0][1] + 1}")) / F.lit(float(len(places)))
+    own, cross, corners = F.col("l11"), mean((-1, 0), (1, 0), (0, -1), (0, 1)), mean((-1, -1), (-1, 1), (1, -1), (1, 1))
     sides, above = mean((0, -1), (0, 1)), mean((-1, 0), (1, 0))
     here = cell(pattern, y, x)
     # a green cell's row is red if red cells stand beside it
@@ -49,10 +58,10 @@ def demosaic(images: DataFrame, pattern: str, width: int, height: int, black: fl
     r = F.when(here == "r", own).when(here == "b", corners).when(red_row, sides).otherwise(above)
     g = F.when(here == "g", own).otherwise(cross)
     b = F.when(here == "b", own).when(here == "r", corners).when(red_row, above).otherwise(sides)
-    cells = images.select("image", F.col("cells"), F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    cells = cells.select("image", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
     # fixed values: sRGB's curve
     encode = lambda v: F.when(v <= 0.0031308, v * F.lit(12.92)).otherwise(F.lit(1.055) * F.pow(v, F.lit(1 / 2.4)) - F.lit(0.055))
-    return cells.select("image", "y", "x", *[half_up(F.round(encode(v) * F.lit(255.0), 9)).alias(n) for v, n in zip((r, g, b), "rgb")])
+    return cells.select("image", "y", "x", *[half_up(F.round(encode(F.col(n)) * F.lit(255.0), 9)).alias(n) for n in "rgb"])
 
 
 def basis(spark: SparkSession, n: int = 8) -> DataFrame:

@@ -14,8 +14,8 @@ from ..operators import clut, packed
 from ..sinks.pdfx import page_of, write_pdf
 from ..sinks.tiff import write_plates, write_tiff
 from ..sources import images as I
-from ..sources import jpeg, layered_files
-from ..sources.model import Damaged, Image
+from ..sources import icc, jpeg
+from ..sources.model import Damaged, Image, Unsupported
 from ..sources.pdf import Page
 
 FORMATS = ("pdf/x-1a", "pdf/x-4", "tiff", "tiffsep", "jpeg")
@@ -26,7 +26,12 @@ NATIVE = ("native", "source", "original")
 
 @dataclass(frozen=True)
 class Options:
-    """What to make. pages: numbers in the order wanted, repeats included; tac: per cent of ink, none for no limit."""
+    """What to make. pages: numbers in the order wanted, repeats included; tac: per cent of ink, none for no limit.
+
+    kernel: a name, or a radius and a function of one's own; limiter: an ink limit of one's own, from and to a DataFrame with
+    inks c, m, y, k; source_profile and target_profile: ICC profiles (RGB by a matrix, inks by a table) in place of the
+    built-in ones.
+    """
 
     format: str = "pdf/x-1a"
     dpi: float = 300.0
@@ -37,17 +42,44 @@ class Options:
     proofs: tuple[int | str, ...] = ()
     proof_format: str = "jpeg"
     quality: int = 85
-    kernel: str | None = None
+    kernel: str | tuple[float, Callable] | None = None
+    limiter: Callable[[DataFrame], DataFrame] | None = None
+    source_profile: bytes | None = None
+    target_profile: bytes | None = None
     job: str | None = None
     composite: bool = False
     first_page_only: bool = False
     naming: Callable[[int], str] | None = None
 
 
-def device_link_array(spark: SparkSession, tac: float | None) -> np.ndarray:
-    """The device link's 35,937 rows as an array: a table of fixed size."""
-    rows = clut.device_link(spark, tac).orderBy("node").collect()
-    return np.array([[r["c"], r["m"], r["y"], r["k"]] for r in rows], np.uint8)
+#: Nodes on each axis of the device link.
+GRID = 33
+
+
+def device_link_array(spark: SparkSession, tac: float | None, limiter=None) -> np.ndarray:
+    """The device link's 35,937 rows as an array, and the 256 grays' behind them: tables of fixed size.
+
+    limiter: in place of the ink limit, a function from a DataFrame with inks c, m, y, k (0 to 1) to one with other inks.
+    """
+    if limiter:
+        grid, grays = clut.device_link(spark, None), clut.gray_table(spark, None)
+        unit = lambda t, key: limiter(t.select(key, *[(F.col(c) / F.lit(255.0)).alias(c) for c in clut.INKS])).select(key, *[clut.to_byte(F.col(c)).alias(c) for c in clut.INKS])
+        grid, grays = unit(grid, "node"), unit(grays, "v")
+    else:
+        grid, grays = clut.device_link(spark, tac), clut.gray_table(spark, tac)
+    rows = [*grid.orderBy("node").collect(), *grays.orderBy("v").collect()]
+    return np.array([[r[c] for c in clut.INKS] for r in rows], np.uint8)
+
+
+def profile_link(source: bytes, target: bytes, tac: float | None) -> np.ndarray:
+    """The same tables by ICC profiles: source's curves and primaries (a matrix profile) to target's table B2A0 from Lab."""
+    r = np.arange(GRID) / (GRID - 1)
+    grid = np.stack(np.meshgrid(r, r, r, indexing="ij"), axis=-1).reshape(-1, 3)
+    values = np.concatenate([grid, np.repeat(np.arange(256)[:, None] / 255, 3, axis=1)])
+    inks = icc.to_inks(icc.parse(source), icc.parse(target), values)
+    if tac is not None:
+        inks = packed.limit_inks(inks, tac)
+    return np.floor(np.clip(inks, 0, 1) * 255 + 0.5).astype(np.uint8)
 
 
 def convert(files: DataFrame, options: Options = Options()) -> DataFrame:
@@ -59,7 +91,11 @@ def convert(files: DataFrame, options: Options = Options()) -> DataFrame:
     if options.format not in FORMATS:
         raise ValueError(f"{options.format} is none of {FORMATS}")
     spark = files.sparkSession
-    link = spark.sparkContext.broadcast(device_link_array(spark, options.tac))
+    if options.source_profile and options.target_profile:
+        link = profile_link(options.source_profile, options.target_profile, options.tac)
+    else:
+        link = device_link_array(spark, options.tac, options.limiter)
+    link = spark.sparkContext.broadcast(link)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,11 +110,21 @@ def convert(files: DataFrame, options: Options = Options()) -> DataFrame:
     return files.select(F.col("path"), F.col("content")).mapInArrow(run, "path string, filename string, content binary, error string")
 
 
+def apart(outputs: DataFrame) -> DataFrame:
+    """convert()'s rows, each file name below a folder of its input's: the input's name and a hash of its whole path.
+
+    So inputs of one name, in other folders or with other endings, don't write over each other's outputs.
+    """
+    stem = F.regexp_replace(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""), r"[^A-Za-z0-9_-]", "_")
+    folder = F.concat(stem, F.lit("-"), F.substring(F.sha2(F.col("path"), 256), 1, 12))
+    return outputs.withColumn("filename", F.concat_ws("/", folder, F.col("filename")))
+
+
 def source_pages(data: bytes, options: Options) -> tuple[str, list[Page]]:
     """The job's default name and the pages."""
     kind = I.kind_of(data)
     if kind in ("xcf", "clip"):
-        return "image", [page_of(layered_files.flatten(getattr(layered_files, kind)(data)))]
+        raise Unsupported(f"the samples of a file of kind {kind} aren't read")
     if kind in ("png", "jpeg", "tiff", "bmp", "tga", "webp", "raw", "psd"):
         return "image", [page_of(I.decode_image(data, kind))]
     return "document", I.decode_pages(data, images=True)[2]
@@ -127,14 +173,14 @@ def outputs(data: bytes, options: Options, link: np.ndarray) -> dict[str, bytes]
     for p in pages:
         image = packed.for_print(p.image, options.dpi, options.threshold, options.kernel) if p.image else None
         if image and fmt in ("pdf/x-1a", "tiffsep"):
-            image = packed.to_cmyk(image, link)
-        ready.append(Page(p.number, p.media, p.crop, p.bleed, p.trim, p.text, image, p.metadata))
+            image = packed.to_cmyk(image, link[: GRID**3], link[GRID**3 :])
+        ready.append(Page(p.number, p.media, p.crop, p.bleed, p.trim, p.text, image, p.metadata, p.paths))
     out: dict[str, bytes] = {}
 
     def write(base: str, some: list[Page], sources: list[Page]) -> None:
         first = next((p for p in some if p.image), None)
         if fmt.startswith("pdf"):
-            out[f"{base}.pdf"] = write_pdf(some, fmt[4:], job)
+            out[f"{base}.pdf"] = write_pdf(some, fmt[4:], job, profile=options.target_profile)
         elif fmt == "jpeg":
             out[f"{base}.jpg"] = proof(sources[0], options.dpi if kind == "document" else "native", options)
         elif first is None:

@@ -40,14 +40,12 @@ def page_range_parse(spark, sf_dir):
     return t.select("p_partkey", "ranges", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("n").cast("long").alias("pages"), F.element_at("n", -1).cast("long").alias("last"))
 
 
-@register("natural_sort", "WITH n AS (SELECT s_suppkey, 'Page_' || (s_suppkey * 7 % 1000)::VARCHAR || CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'B' END || (s_suppkey % 13)::VARCHAR || '.png' AS name FROM supplier) SELECT s_suppkey, name, row_number() OVER (ORDER BY s_suppkey * 7 % 1000, CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END, s_suppkey % 13, s_suppkey)::BIGINT AS place FROM n")
+@register("natural_sort", "WITH n AS (SELECT s_suppkey, s_nationkey, 'Page_' || (s_suppkey * 7 % 1000)::VARCHAR || CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'B' END || (s_suppkey % 13)::VARCHAR || '.png' AS name FROM supplier) SELECT s_suppkey, name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey * 7 % 1000, CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END, s_suppkey % 13, s_suppkey)::BIGINT AS place FROM n")
 def natural_sort(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     s = lambda c: c.cast("string")
     name = F.concat(F.lit("Page_"), s(F.col("s_suppkey") * 7 % 1000), F.when(F.col("s_suppkey") % 2 == 0, F.lit("a")).otherwise(F.lit("B")), s(F.col("s_suppkey") % 13), F.lit(".png"))
-    t = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"))
-    return t.withColumn("place", F.row_number().over(Window.orderBy(P.natural_key(F.col("name")), "s_suppkey")).cast("long"))
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", name.alias("name"))
+    return P.in_order(t, "s_nationkey", P.natural_key(F.col("name")), "s_suppkey").drop("s_nationkey")
 
 
 @register("numeric_sort", "WITH n AS (SELECT s_suppkey, s_nationkey, 'ppt/slides/slide' || (s_suppkey * 7 % 1000)::VARCHAR || '.xml' AS name FROM supplier) SELECT s_suppkey, name, s_suppkey * 7 % 1000 AS key, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey * 7 % 1000, s_suppkey)::BIGINT AS place, row_number() OVER (PARTITION BY s_nationkey ORDER BY name, s_suppkey)::BIGINT AS lexical FROM n")
@@ -113,7 +111,7 @@ def spine_join(spark, sf_dir):
     manifest = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("entry"))
     spine = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("book"), F.col("l_linenumber").alias("position"), (F.col("l_orderkey") + F.col("l_suppkey") % 3 * 1000000).alias("item"))
     entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry"), F.col("c_name").alias("file"))
-    return spine.join(manifest, "item").join(entries, "entry").groupBy("book", "position", "item", "file").agg(F.count("*").alias("n"))
+    return P.spine(spine, manifest, entries).groupBy("book", "position", "item", "file").agg(F.count("*").alias("n"))
 
 
 @register("xref_newest", "SELECT o_custkey AS object, max(o_orderkey) AS revision, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY o_custkey")
@@ -131,20 +129,14 @@ def xref_offsets(spark, sf_dir):
 @register("page_tree_inherit", """WITH RECURSIVE tree AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey > 0 THEN (n_nationkey - 1) // 2 END AS parent, CASE WHEN n_nationkey % 4 = 1 OR n_nationkey = 0 THEN 500 + n_nationkey END AS box FROM nation),
 walk AS (SELECT node, 0 AS depth, box FROM tree WHERE parent IS NULL UNION ALL SELECT t.node, w.depth + 1, coalesce(t.box, w.box) FROM tree t JOIN walk w ON t.parent = w.node) SELECT node::BIGINT AS node, depth, box FROM walk""")
 def page_tree_inherit(spark, sf_dir):
-    table(spark, sf_dir, "nation").createOrReplaceTempView("__nation")
-    return spark.sql("""WITH RECURSIVE tree AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey > 0 THEN (n_nationkey - 1) DIV 2 END AS parent, CASE WHEN n_nationkey % 4 = 1 OR n_nationkey = 0 THEN 500 + n_nationkey END AS box FROM __nation),
-walk(node, depth, box) AS (SELECT node, 0, box FROM tree WHERE parent IS NULL UNION ALL SELECT t.node, w.depth + 1, coalesce(t.box, w.box) FROM tree t JOIN walk w ON t.parent = w.node) SELECT CAST(node AS BIGINT) AS node, depth, box FROM walk""")
+    node = F.col("n_nationkey")
+    tree = table(spark, sf_dir, "nation").select(node.cast("long").alias("node"), F.when(node > 0, F.floor((node - 1) / 2)).alias("parent"), F.when((node % 4 == 1) | (node == 0), node + 500).alias("box"))
+    return P.inherit(tree)
 
 
 @register("latency_percentiles", "SELECT event_type, count(*) AS n, round((list_sort(list(value)))[floor(count(*) * 0.5)::BIGINT + 1], 6) AS p50, round((list_sort(list(value)))[floor(count(*) * 0.95)::BIGINT + 1], 6) AS p95, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    t = table(spark, sf_dir, "events").select("event_type", "value")
-    counts = F.broadcast(t.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")))
-    ranked = t.withColumn("at", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(counts, "event_type")
-    pick = lambda share: F.round(F.max(F.when(F.col("at") == F.floor(F.col("n") * F.lit(share)), F.col("value"))), 6)
-    return ranked.groupBy("event_type", "n", "mean").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
+    return P.order_statistics(table(spark, sf_dir, "events").select("event_type", "value"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 HEX = "['89504E470D0A1A0A0000', 'FFD8FFE000104A46', '49492A0008000000', '4D4D002A00000008', '524946460000000057454250', '5249464600000000', '424D3600', '3842505300010000', '53514C69746520666F726D6174203300', '67696D702078636620763031', '255044462D312E34', '2521505341646F62', 'D0CF11E0A1B11AE1', '504B030414000000', '46554A4946494C4D', '004D524D', '41433130', '00000200']"
@@ -221,6 +213,15 @@ def svg_path_data(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", G.path_data(path).alias("d"))
 
 
+@register("pdf_path_data", "SELECT p_partkey, printf('%.3f', p_retailprice) || ' ' || printf('%.3f', p_size::DOUBLE) || ' m' || chr(10) || printf('%.3f', p_retailprice / 7) || ' ' || printf('%.3f', -p_size / 8.0::DOUBLE) || ' l' || chr(10) || '1.000 2.000 3.000 ' || printf('%.3f', p_size / 4.0::DOUBLE) || ' 5.500 -6.000 c' || chr(10) || 'h' AS d FROM part")
+def pdf_path_data(spark, sf_dir):
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    command = lambda op, *args: F.struct(F.lit(op).alias("op"), (F.array(*args) if args else F.array().cast("array<double>")).alias("args"))
+    lit = lambda v: F.lit(float(v))
+    path = F.array(command("M", price, size.cast("double")), command("L", price / F.lit(7.0), F.lit(0.0) - size / F.lit(8.0)), command("C", lit(1), lit(2), lit(3), size / F.lit(4.0), lit(5.5), lit(-6)), command("Z"))
+    return table(spark, sf_dir, "part").select("p_partkey", G.pdf_path(path).alias("d"))
+
+
 @register("svg_rect_extract", "SELECT p_partkey, n, x, y, w AS width, h AS height FROM (SELECT p_partkey, 0 AS n, (p_partkey % 50)::DOUBLE AS x, 0.0::DOUBLE AS y, p_size / 2.0::DOUBLE AS w, 3.0::DOUBLE AS h FROM part UNION ALL SELECT p_partkey, 1, 0, -1.5, (p_partkey % 3)::DOUBLE, p_size FROM part) WHERE w > 0 AND h > 0")
 def svg_rect_extract(spark, sf_dir):
     s = lambda c: c.cast("string")

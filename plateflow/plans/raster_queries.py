@@ -227,6 +227,32 @@ def composite_pixels(spark, sf_dir):
     return L.composite(layers(spark, sf_dir), POINTS)
 
 
+SAMPLED = f"""WITH RECURSIVE {LAYERS}, seen AS (SELECT * FROM layers WHERE visible AND z % 5 <> 4), based AS {BASED.partition(', based AS ')[2]}, pts AS (SELECT * FROM (VALUES {', '.join(map(str, POINTS))}) AS t(x, y)),
+own AS (SELECT b.image, b.z, b.base_z, b.mode, b.v, p.x, p.y, greatest(0, least(1, b.opacity)) * (((p.x * 7 + b.z * 11) % 256) / 255.0::DOUBLE) * (CASE WHEN b.z % 3 = 0 THEN 1 ELSE ((p.y * 5 + b.z) % 256) / 255.0::DOUBLE END) AS a FROM based b JOIN pts p ON b.x0 <= p.x AND p.x < b.x0 + b.w AND b.y0 <= p.y AND p.y < b.y0 + b.h),
+hit AS (SELECT o.image, o.x, o.y, o.z, k, CASE k WHEN 0 THEN o.v WHEN 1 THEN o.v * 3 % 256 WHEN 2 THEN 255 - o.v ELSE o.v // 2 END / 255.0::DOUBLE AS s, o.mode, o.a * (CASE WHEN o.base_z IS NULL THEN 1 ELSE coalesce(c.a, 0) END) AS a
+  FROM own o LEFT JOIN own c ON c.image = o.image AND c.x = o.x AND c.y = o.y AND c.z = o.base_z, (SELECT unnest(range(4)) AS k)),
+ord AS (SELECT *, row_number() OVER (PARTITION BY image, x, y, k ORDER BY z) AS n FROM hit),
+fold AS (SELECT image, x, y, k, 0::BIGINT AS n, CASE k WHEN 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS b FROM ord WHERE n = 1
+  UNION ALL SELECT image, x, y, k, n, CASE WHEN a <= 0 THEN b ELSE greatest(0, least(1, (1 - a) * b + a * m)) END FROM (SELECT o.image, o.x, o.y, o.k, o.n, o.a, f.b, greatest(0, least(1, m)) AS m FROM fold f JOIN ord o ON o.image = f.image AND o.x = f.x AND o.y = f.y AND o.k = f.k AND o.n = f.n + 1, LATERAL (SELECT {BLENDS.replace('mode', 'o.mode', 1)} AS m FROM (SELECT f.b AS b, o.s AS s))))
+SELECT image, x, y, max(v) FILTER (k = 0) AS r, max(v) FILTER (k = 1) AS g, max(v) FILTER (k = 2) AS b, max(v) FILTER (k = 3) AS k FROM (SELECT image, x, y, k, floor(round(max_by(b, n), 9) * 255 + 0.5)::BIGINT AS v FROM fold GROUP BY image, x, y, k) GROUP BY image, x, y"""
+
+
+def layer_samples(spark, sf_dir):
+    """Layers, a fifth of which are folders, and their pixels at the proof's points: four channels, alpha, and masks of two in three."""
+    t = layers(spark, sf_dir).withColumn("folder", F.col("z") % 5 == 4)
+    at = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in POINTS])).alias("p")
+    rows = t.select("*", at).select("*", "p.x", "p.y").where(L.covers("", F.col("x"), F.col("y")))
+    v = F.col("v")
+    channels = F.array(v, v * 3 % 256, F.lit(255) - v, F.floor(v / 2))
+    return t, rows.select("image", "z", "x", "y", channels.alias("s"), ((F.col("x") * 7 + F.col("z") * 11) % 256).alias("alpha"), F.when(F.col("z") % 3 != 0, (F.col("y") * 5 + F.col("z")) % 256).alias("mask"))
+
+
+@register("composite_samples", SAMPLED)
+def composite_samples(spark, sf_dir):
+    t, samples = layer_samples(spark, sf_dir)
+    return L.composite_samples(t, samples, [1.0, 1.0, 1.0, 0.0]).select("image", "x", "y", *[F.col("v")[i].alias(c) for i, c in enumerate("rgbk")])
+
+
 REGIONS = f"""{SEEN}, boxes AS (SELECT image, z, greatest(0, x0) AS l, least(100, x0 + w) AS r, greatest(0, y0) AS t, least(100, y0 + h) AS b, opacity < 1 OR mode <> 'normal' AS clear FROM seen),
 images AS (SELECT DISTINCT image FROM layers),
 xs AS (SELECT image, l AS x FROM boxes UNION SELECT image, r FROM boxes UNION SELECT image, 0 FROM images UNION SELECT image, 100 FROM images),
@@ -257,6 +283,15 @@ def atomic_region_merge(spark, sf_dir):
     return joined(L.merge_regions(L.regions(layers(spark, sf_dir), 100, 100)))
 
 
+FLATTENED = f"{COMPOSITE.rpartition('SELECT image, x, y, floor')[0].rstrip()}, {MERGED[len(SEEN) + 2:]}, seen_at AS (SELECT image, x, y, floor{COMPOSITE.rpartition('SELECT image, x, y, floor')[2]}) SELECT s.image, m.x0, m.y0, m.w, m.h, s.x, s.y, s.v FROM seen_at s JOIN merged m ON m.image = s.image AND m.transparent AND m.x0 <= s.x AND s.x < m.x0 + m.w AND m.y0 <= s.y AND s.y < m.y0 + m.h"
+
+
+@register("region_flattening", FLATTENED)
+def region_flattening(spark, sf_dir):
+    t = layers(spark, sf_dir)
+    return L.flattened(L.merge_regions(L.regions(t, 100, 100)), L.composite(t, POINTS)).select("image", "x0", "y0", "w", "h", "x", "y", "v")
+
+
 @register("region_area", f"WITH {MERGED} SELECT image, count(*) AS regions, sum(w * h)::BIGINT AS area, coalesce(sum(w * h) FILTER (transparent), 0)::BIGINT AS transparent FROM merged GROUP BY image")
 def region_area(spark, sf_dir):
     t = L.merge_regions(L.regions(layers(spark, sf_dir), 100, 100))

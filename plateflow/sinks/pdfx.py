@@ -65,8 +65,18 @@ class Writer:
         return out + f"xref\n0 {len(self.objects) + 1}\n".encode() + table + b"trailer\n" + text(trailer | {"Size": len(self.objects) + 1}) + f"\nstartxref\n{at}\n%%EOF\n".encode()
 
 
-def write_pdf(pages: list[Page], kind: str = "x-1a", title: str = "Untitled", condition: str | None = None, paths: dict[int, str] | None = None, profile: bytes | None = None) -> bytes:
-    """A file of pages with their images; paths: drawing operators by page number."""
+def path_operators(paths: list, height: float) -> str:
+    """Strokes of paths whose y grows downward, on a page of that height."""
+    operator = {"M": "m", "L": "l", "C": "c", "Z": "h"}
+    lines = []
+    for p in paths:
+        lines += [" ".join([*(f"{v:.3f}" for v in args), operator[op]]) for op, args in p]
+        lines += ["S"] * bool(p)
+    return "\n".join([f"1 0 0 -1 0 {number(height)} cm", *lines])
+
+
+def write_pdf(pages: list[Page], kind: str = "x-1a", title: str = "Untitled", condition: str | None = None, profile: bytes | None = None) -> bytes:
+    """A file of pages with their images and, over these, their paths as black strokes one point wide."""
     import hashlib
 
     version, conformance, standard, spaces = KINDS[kind]
@@ -82,8 +92,11 @@ def write_pdf(pages: list[Page], kind: str = "x-1a", title: str = "Untitled", co
             width, height = (abs(page.media[i + 2] - page.media[i]) for i in (0, 1))
             content.append(f"q {number(width)} 0 0 {number(height)} {number(page.media[0])} {number(page.media[1])} cm /Im0 Do Q")
             seed.update(page.image.data)
-        if paths and page.number in paths:
-            content.append(("0 0 0 1 K" if kind == "x-1a" else "0 0 0 RG") + " 1 w\n" + paths[page.number] + "\nS")
+        if any(page.paths):
+            black = "0 0 0 1 K 0 0 0 1 k" if kind == "x-1a" else "0 0 0 RG 0 0 0 rg"
+            operators = path_operators(page.paths, page.media[1] + page.media[3])
+            content.append(f"q {black} 1 w\n{operators}\nQ")
+            seed.update(operators.encode())
         entries |= {"Resources": resources, "Contents": w.add({"Filter": Name("FlateDecode")}, zlib.compress("\n".join(content).encode()))}
         if kind == "x-4":
             entries["Group"] = {"S": Name("Transparency"), "CS": Name("DeviceCMYK")}

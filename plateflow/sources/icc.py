@@ -140,3 +140,37 @@ def evaluate(lut: dict, values: np.ndarray) -> np.ndarray:
         weight = rest[:, k] - (rest[:, k + 1] if k + 1 < v.shape[1] else 0)
         out = out + grid[tuple(node.T)] * weight[:, None]
     return curves(lut["output"], out)
+
+
+def unit_curve(tag: bytes):
+    """A curve as a function of unit values."""
+    kind, *rest = curve(tag)
+    if kind == "gamma":
+        return lambda v: np.power(v, rest[0])
+    if kind == "table":
+        return lambda v: np.interp(v, np.linspace(0, 1, len(rest[0])), rest[0])
+    n, p = rest
+    g, a, b, c, d, e, f = (*p, *[0.0] * (7 - len(p)))
+    power = lambda v: np.power(np.maximum(0, a * v + b), g)
+    if n == 0:
+        return lambda v: np.power(v, g)
+    if n in (1, 2):
+        return lambda v: np.where(v >= -b / a, power(v) + c, c) if n == 2 else np.where(v >= -b / a, power(v), 0.0)
+    return lambda v: np.where(v >= d, power(v) + e, c * v + f)
+
+
+#: The profile connection space's white, and the two numbers of Lab.
+WHITE, EPSILON, KAPPA = (0.9642, 1.0, 0.8249), 216 / 24389, 24389 / 27
+
+
+def to_inks(source: Profile, target: Profile, values: np.ndarray) -> np.ndarray:
+    """Unit RGB (n, 3) through a matrix profile to Lab, and through the target's table B2A0 to unit inks."""
+    if not source.is_matrix or "B2A0" not in target.tags:
+        raise Damaged("the profiles are not a matrix and a table B2A0")
+    linear = np.stack([np.clip(unit_curve(source.tags[f"{c}TRC"])(values[:, i]), 0, 1) for i, c in enumerate("rgb")], axis=1)
+    seen = linear @ np.array([xyz(source.tags[f"{c}XYZ"]) for c in "rgb"])
+    t = seen / WHITE
+    f = np.where(t > EPSILON, np.cbrt(t), (KAPPA * t + 16) / 116)
+    lab = np.stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])], axis=1)
+    place = np.clip(np.stack([lab[:, 0] / 100, (lab[:, 1] + 128) / 255, (lab[:, 2] + 128) / 255], axis=1), 0, 1)
+    return evaluate(table(target.tags["B2A0"]), place)

@@ -73,7 +73,7 @@ def decode_pages(data: bytes, images: bool = False) -> tuple[str, str | None, li
         return kind, *pdf.read_pages(data, images)
     if kind in ("eps", "djvu", "svg", "dxf", "dwg", "wmf", "emf", "cdr"):
         d = decode_drawing(data, kind)
-        return kind, None, [office.page(i + 1, d.width, d.height, d.text, image=d.preview if i == 0 else None) for i in range(d.pages)]
+        return kind, None, [office.page(i + 1, d.width, d.height, d.text, image=d.preview if i == 0 else None, paths=d.paths if i == 0 else []) for i in range(d.pages)]
     return office.read(data)
 
 

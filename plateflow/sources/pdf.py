@@ -414,6 +414,7 @@ class Page:
     text: str = ""
     image: Image | None = None
     metadata: dict = field(default_factory=dict)
+    paths: list = field(default_factory=list)  # of commands (op, args), in points from the upper left corner
 
 
 def read_pages(data: bytes, images: bool = True, scale: int = 1) -> tuple[str | None, list[Page]]:

@@ -32,10 +32,10 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 def convert_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, options=None) -> StreamingQuery:
     """Converts what arrives and saves the outputs; a batch that is run again writes the same files."""
-    from ..plans.convert import Options, convert
+    from ..plans.convert import Options, apart, convert
     from ..sinks.files import save
 
     def batch(df: DataFrame, _: int) -> None:
-        save(convert(df, options or Options()), out)
+        save(apart(convert(df, options or Options()).where("error IS NULL")), out)
 
     return watch(spark, folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()

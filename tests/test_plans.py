@@ -12,7 +12,7 @@ from plateflow.operators import pages as P
 from plateflow.operators import raster as R
 from plateflow.operators import vector as V
 from plateflow.operators.resample import resample
-from plateflow.plans.convert import Options, convert, device_link_array, report
+from plateflow.plans.convert import Options, apart, convert, device_link_array, report
 from plateflow.plans.queries import QUERIES, SQL
 from plateflow.sources import images, jpeg, pdf, raster_files
 from plateflow.sources.model import Image
@@ -236,11 +236,73 @@ def test_convert(spark, folder, tmp_path):
     rows = convert(images.files(spark, str(folder)), Options(format="tiff"))
     errors = {r["path"].rpartition("/")[2] for r in rows.where("error IS NOT NULL").collect()}
     assert errors == {"broken.png", "c.svg"}
-    save(rows.where("error IS NULL").withColumn("filename", F.concat(F.substring_index("path", "/", -1), F.lit("/"), "filename")), f"file://{tmp_path}")
-    assert raster_files.tiff((tmp_path / "a.png" / "image.tif").read_bytes()).width == 30
+    named = apart(rows.where("error IS NULL"))
+    save(named, f"file://{tmp_path}")
+    (place,) = [r["filename"] for r in named.where("path LIKE '%a.png'").collect()]
+    assert place.startswith("a-") and raster_files.tiff((tmp_path / place).read_bytes()).width == 30
+    with pytest.raises(Exception, match="several outputs are named"):
+        save(rows.where("error IS NULL"), f"file://{tmp_path}/twice")
     assert '"name":"image.tif"' in report(rows).where("path LIKE '%a.png'").first()["report"]
 
 
+def test_vectors_are_written(spark, folder):
+    """A drawing's paths become strokes of the print file, in both kinds; y is turned."""
+    for kind, black in (("pdf/x-1a", "0 0 0 1 K"), ("pdf/x-4", "0 0 0 RG")):
+        (page,) = pdf.read_pages(made(spark, folder, "c.svg", format=kind)["document.pdf"])[1]
+        assert black in page.text and "1 0 0 -1 0" in page.text and page.text.count(" m\n") == page.text.count("S") >= 1
+
+
+def test_layers_without_samples_are_an_error(spark, tmp_path):
+    from plateflow.plans import fixtures
+
+    (tmp_path / "x.xcf").write_bytes(fixtures.xcf(10, 10, 72.0, [("a", 0, 0, 10, 10, 255, True)]))
+    (r,) = convert(images.files(spark, str(tmp_path)), Options()).collect()
+    assert r["error"].startswith("Unsupported")
+
+
+def test_own_kernels_limits_and_profiles(spark, folder):
+    from plateflow.sources import icc
+
+    flat = lambda x: np.where(np.abs(x) < 1, 1.0, 0.0)
+    assert made(spark, folder, "a.png", kernel=(1.0, flat), dpi=50.0, threshold=60.0)
+    black = lambda t: t.select(*[c for c in t.columns if c not in "cmy"], *[F.lit(0.0).alias(c) for c in "cmy"])
+    image = pdf.read_pages(made(spark, folder, "a.png", limiter=black)["image.pdf"])[1][0].image
+    assert image.array()[:, :, :3].max() == 0
+    line = b"curv\0\0\0\0" + (0).to_bytes(4, "big")
+    source = icc.build("RGB", "XYZ", "mntr", {f"{c}TRC": line for c in "rgb"} | {"rXYZ": icc.xyz_tag((0.4361, 0.2225, 0.0139)), "gXYZ": icc.xyz_tag((0.3851, 0.7169, 0.0971)), "bXYZ": icc.xyz_tag((0.1431, 0.0606, 0.7139))})
+    straight = lambda n: np.tile(np.arange(256, dtype=np.uint8), n).tobytes()
+    grid = np.zeros((2, 2, 2, 4), np.uint8)
+    grid[0, :, :, 3] = 255  # black where there is no light, and nothing else
+    import struct
+
+    lut = b"mft1\0\0\0\0" + bytes([3, 4, 2, 0]) + struct.pack(">9i", *[65_536, 0, 0, 0, 65_536, 0, 0, 0, 65_536]) + straight(3) + grid.tobytes() + straight(4)
+    target = icc.build("CMYK", "Lab", "prtr", {"B2A0": lut})
+    image = pdf.read_pages(made(spark, folder, "a.png", source_profile=source, target_profile=target)["image.pdf"])[1][0].image
+    rgb = raster_files.png((folder / "a.png").read_bytes()).array() / 255
+    y = rgb @ [0.2225, 0.7169, 0.0606]
+    light = np.where(y > 216 / 24389, 116 * np.cbrt(y) - 16, y * 24389 / 27) / 100
+    assert image.array()[:, :, :3].max() == 0 and np.abs(image.array()[:, :, 3] / 255 - (1 - light)).max() < 0.05
+
+
+def test_selection_of_pages_that_are_not_there(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "doc int, page_number long")
+    assert P.select_pages(df, [1, 1], strict=True).count() == 4
+    with pytest.raises(Exception, match="lacks some of the pages"):
+        P.select_pages(df, [1, 2], strict=True).collect()
+
+
+def test_limits_in_steps(spark):
+    """The plan over pixels, the Column expression and the packed plan have one result."""
+    rng = np.random.default_rng(4)
+    v = rng.random((300, 4))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in v], "c double, m double, y double, k double")
+    from plateflow.operators.plates import limit_inks
+
+    got = np.array([tuple(r) for r in limit_inks(df, 240.0).collect()])
+    want = np.array([tuple(r) for r in df.select(*ink.limit(tuple(F.col(c) for c in "cmyk"), 240.0)).collect()])
+    assert np.allclose(got, want) and np.allclose(packed.limit_inks(v.copy(), 240.0), want) and got.sum(axis=1).max() <= 2.4 + 1e-9
+
+
 def test_page_that_is_not_there(spark, folder):
     (r,) = convert(images.files(spark, str(folder), "d.pdf"), Options(pages=(9,))).collect()
     assert "no pages [9]" in r["error"]
@@ -251,7 +313,7 @@ def test_stream(spark, folder, tmp_path):
 
     q = feed.convert_arrivals(spark, str(folder), f"file://{tmp_path}/out", f"{tmp_path}/state", Options(format="pdf/x-4"))
     q.awaitTermination()
-    assert (tmp_path / "out" / "document.pdf").exists()
+    assert sorted(p.parent.name.partition("-")[0] for p in (tmp_path / "out").glob("*/*.pdf") if not p.name.startswith(".")) == ["a", "b", "c", "d"]
     q = feed.images(spark, str(folder)).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT * FROM arrived WHERE error IS NULL").count() == 2
@@ -271,4 +333,4 @@ def test_command_line(spark, folder, tmp_path):
     a = arguments(["in", "out", "--tac", "newsprint", "--proofs", "72,native"])
     assert (a.tac, a.proofs) == (240.0, (72, "native"))
     assert main([str(folder / "d.pdf"), f"file://{tmp_path}", "--format", "pdf/x-4", "--split"]) == 0
-    assert sorted(p.name for p in (tmp_path / "d").iterdir() if not p.name.startswith(".")) == ["page_1.pdf", "page_2.pdf", "page_3.pdf"]
+    assert sorted(p.name for p in tmp_path.glob("d-*/*") if not p.name.startswith(".")) == ["page_1.pdf", "page_2.pdf", "page_3.pdf"]
