@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, field, per_block
+from .common import cut_lineage, edit_rows, field, per_block
 from .components import connected_components
-from .shingle_links import codes, similar
+from .shingle_links import SKETCH, similar, sketch
 
 BITS, SEED = 64, 42
 #: Fingerprints that are compared with each other in one place.
@@ -33,23 +33,31 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 SHINGLES_AT_ONCE = 1 << 16
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint, unsigned: a bit is 1 if it is set in over half the shingles' XXH64 (UTF-8, seed 42).
+def shingle_codes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """Each shingle's XXH64 (UTF-8, seed 42), as often as it occurs.
 
-    A-Z are lower-cased; words lie between ASCII white space; shingles count as often as they occur. Fewer words than a
-    shingle has: all of them are one; no words or null: 0.
+    A-Z are lower-cased; words lie between ASCII white space. Fewer words than a shingle has: all of them are one; no words
+    or null: none.
     """
     words = WORD.findall((text or "").translate(LOWER))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    codes = np.array([digest(s, SEED) for s in shingles], np.uint64)
+    return np.array([digest(s, SEED) for s in shingles], np.uint64)
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint, unsigned: a bit is 1 if it is set in over half the shingle_codes(); 0 without any."""
+    return _majority(shingle_codes(text, shingle))
+
+
+def _majority(codes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(codes), SHINGLES_AT_ONCE):
         part = codes[i : i + SHINGLES_AT_ONCE]
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(codes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(codes), bitorder="little").view(np.uint64)[0]) if len(codes) else 0
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
@@ -181,13 +189,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marks.join(labels, "fp").select(F.col("id").alias(id_col), hexadecimal(F.col("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def _similar(df: DataFrame, marks: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) between fingerprints of texts whose shingles have a Jaccard similarity of least or more; marks has the sets' codes (own)."""
-    pairs = marks.select("own", "fp").distinct()
+def _similar(df: DataFrame, marks: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) between fingerprints of texts whose shingles have a Jaccard similarity of least or more; marks has the sets' sketches."""
+    pairs = marks.where("n > 0").select("own", "fp").distinct()
     low = cut_lineage(pairs.groupBy("own").agg(F.min("fp").alias("low")))
     alike = pairs.join(low, "own").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
     a, b = (low.select(F.col("own").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab")
-    found = similar(df, text_col, shingle, least).join(a, "a").join(b, "b").where("low_a <> low_b")
+    found = similar(df, marks, lambda text: shingle_codes(text, shingle), id_col, text_col, least).join(a, "a").join(b, "b").where("low_a <> low_b")
     return alike.unionByName(found.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
 
 
@@ -202,25 +210,32 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     else:
 
         def block(columns):
-            return [columns[0], np.array([simhash(t, shingle) for t in columns[1]], np.uint64).view(np.int64), codes(columns[1], shingle)]
+            codes = [shingle_codes(t, shingle) for t in columns[1]]
+            return [columns[0], np.array([_majority(c) for c in codes], np.uint64).view(np.int64), *zip(*map(sketch, codes))]
 
-        fields = [field(df, id_col, "id"), T.StructField("fp", T.LongType()), T.StructField("own", T.LongType())]
+        fields = [field(df, id_col, "id"), T.StructField("fp", T.LongType()), *T.StructType.fromDDL(SKETCH).fields]
         marks = cut_lineage(per_block(df, {"id": f"`{id_col}`", "text": f"`{text_col}`"}, block, T.StructType(fields)))
-        more = _similar(df, marks, text_col, shingle, least)
+        more = _similar(df, marks, id_col, text_col, shingle, least)
+        marks = marks.select("id", "fp")
     own = marks.groupBy("id", "fp").agg(F.count("*").alias("times"))
-    kept = own.join(_labelled(marks, radius, more), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "times")).alias("k")).select("k.id", "k.fp", "k.times")
-    kept = kept.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("times").alias("__times"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    rooted = _labelled(marks, radius, more).select("fp", "root")
+    kept = own.join(rooted, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "times")).alias("k")).select("k.id", "k.fp", "k.times")
+    rows = marks.groupBy("id").agg(F.count("*").alias("rows"))
+    kept = cut_lineage(kept.join(rows.select(F.col("id").alias("own"), "rows"), F.col("id").eqNullSafe(F.col("own"))).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("times").alias("__times"), F.col("rows").alias("__rows")))
+    # an id that only one row has tells which row; texts are read once, and for other ids alone marked again
+    out = df.join(kept.where("__rows = 1").select("__id"), df[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    several = kept.where("__rows > 1")
+    if several.isEmpty():
+        return out
+    place = df.schema.names.index(text_col)
     schema = T.StructType([*df.schema.fields, T.StructField("__own", T.LongType())])
-    place, arrow = df.schema.names.index(text_col), to_arrow_schema(schema)
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([simhash(t, shingle) for t in batch.column(place).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], schema=arrow)
+    def marked(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        fps = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps)], names=[*rows.schema.names, "__own"])
 
-    rows = df.mapInArrow(marked, schema)
-    rows = rows.join(kept, rows["__own"].eqNullSafe(kept["__fp"]) & rows[id_col].eqNullSafe(kept["__id"]))
+    ids = several.select("__id").distinct()
+    rows = edit_rows(df.join(ids, df[id_col].eqNullSafe(ids["__id"]), "left_semi"), df.schema.names[place], marked, schema)
+    rows = rows.join(several, rows["__own"].eqNullSafe(several["__fp"]) & rows[id_col].eqNullSafe(several["__id"]))
     again = rows.where("__times > 1").dropDuplicates(["__id", "__fp"])
-    return rows.where("__times = 1").unionByName(again).select(*[f"`{c}`" for c in df.columns])
+    return out.unionByName(rows.where("__times = 1").unionByName(again).select(*[f"`{c}`" for c in df.columns]))

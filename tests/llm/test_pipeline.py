@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -7,7 +9,7 @@ from plateflow.llm import decontaminate, language_id, secret_scan
 
 from .helpers import DOCUMENTS
 from .test_packing import checked, expected
-from .test_simhash_dedup import components, plain_simhash
+from .test_simhash_dedup import plain_simhash
 
 
 class Held:
@@ -17,6 +19,21 @@ class Held:
         self.value = value
 
 
+def near_roots(texts):
+    """The least place that each text is linked with, by fingerprints or by a Jaccard similarity of 0.8 or more."""
+    marks = [plain_simhash(t, 5) for t in texts]
+    words = [re.findall("[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    roots = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (marks[i] ^ marks[j]).bit_count() <= 3 or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if near and roots[i] != roots[j]:
+                low, high = sorted((roots[i], roots[j]))
+                roots = [low if r == high else r for r in roots]
+    return roots
+
+
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "decontaminate", "secret_scan", "packing"]
 
@@ -26,9 +43,9 @@ def test_against_plain_python(spark, sf):
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     model = language_id.fit(docs.where(~language_id.held_out()))
     rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
-    langs, scores = language_id.Labeller(Held(model))([r["text"] for r in rows])
-    rows = [r for r, x, s in zip(rows, langs, scores) if x != "und" and s >= 0.5]
-    roots = components([plain_simhash(r["text"], 5) for r in rows], 3)
+    langs, _, sure = language_id.Labeller(Held(model))([r["text"] for r in rows])
+    rows = [r for r, x, s in zip(rows, langs, sure) if x != "und" and s >= 0.5]
+    roots = near_roots([r["text"] for r in rows])
     rows = [r for i, (r, c) in enumerate(zip(rows, roots)) if i == c]
     rows = [r for r in rows if not any(decontaminate.brute_force(r["text"], x) for x in items)]
     want = {}
