@@ -7,9 +7,11 @@ and a text becomes a slot of its element that remembers whether it was ever diff
 without unions, in which each element has one place, so a host's wrapper is as large as its template and not as its pages.
 Wrappers are made where pages are read, a part of the pages at a time, and merged in two steps, so no host is gathered.
 
-A slot is main text unless it lies in an element that is not part of articles (by its name, role, class or id), outside of
-the host's articles where there are any, or, outside of articles, in a slot that is mostly links on the host as a whole; texts
-outside of articles that nearly every page of a host says are of its template; these are counted exactly, over all pages.
+A page is matched with its host's wrapper, whose places decide: a slot is main text unless it lies in an element that is not
+part of articles (by its name, role, class or id), or outside of the host's articles where there are any. Outside of articles
+repeated groups that are mostly links on the host as a whole are lists of links and go with all that is in them, and so do
+single slots that are; a slot that every page has and that is always the same is of the template, and so are texts that
+nearly every page of a host says; these are counted exactly, over all pages. What matches no place of the wrapper is no text.
 """
 
 from __future__ import annotations
@@ -62,8 +64,8 @@ ARTICLE = frozenset("article main".split())
 #: none, are noted, once each, and the texts of all others count to that depth. Different pages from which a host's template is known, the share of
 #: its pages that say a text of that, and the share of links that makes a slot one of links.
 DEPTH, PAGES, TEMPLATE, LINKS = 48, 3, 0.8, 0.7
-#: Parts that the pages of one host are dealt in when its wrapper is applied.
-SALTS = 32
+#: Bytes of all hosts' slots up to which they are sent to where the pages are read; beyond, pages are dealt by hosts.
+BROADCAST_BYTES = 64_000_000
 
 _TOKEN = re.compile(
     rf"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -359,22 +361,47 @@ def main_slots(root: Element, said: dict[int, set[int]] | None = None) -> dict[t
     """
     wide: list[tuple[tuple[str, ...], Slot, bool]] = []
 
-    def walk(e: Element, path: tuple[str, ...], within: bool):
+    def walk(e: Element, path: tuple[str, ...], within: bool, optional: bool):
         name, _, kind = e.label.partition(":")
         within = within or name in ARTICLE or kind == "main"
         if silent(name, kind, within and not (name in ARTICLE or kind == "main")):
             return
         if e.slot:
-            wide.append((path, e.slot, within))
+            # a place that isn't optional, on any page, and holds a constant
+            constant = known and not optional and not within and e.slot.same is not None and e.slot.pages == root.seen
+            if not constant:
+                wide.append((path, e.slot, within))
         for g in e.groups:
+            if g.repeated and not within and not any(articles(x) for x in g.elements.values()):
+                letters, linked = (sum(n) for n in zip(*(said_in(x) for x in g.elements.values())))
+                if linked > LINKS * letters:
+                    continue
             for x in g.elements.values():
-                walk(x, (*path, x.label), within)
+                walk(x, (*path, x.label), within, optional or g.repeated or x.seen < e.seen)
 
-    walk(root, (), False)
     known = len(root.kinds) >= PAGES
+    walk(root, (), False, False)
     return {path: frozenset() if within or not known else frozenset((said or {}).get(place_of(path), ())) for path, slot, within in wide if within or slot.linked <= LINKS * slot.letters}
 
 
+def said_in(e: Element) -> tuple[int, int]:
+    """Letters in an element and below, and those in links; elements of no article don't count."""
+    name, _, kind = e.label.partition(":")
+    if silent(name, kind, False):
+        return 0, 0
+    letters, linked = (e.slot.letters, e.slot.linked) if e.slot else (0, 0)
+    for g in e.groups:
+        for x in g.elements.values():
+            more = said_in(x)
+            letters, linked = letters + more[0], linked + more[1]
+    return letters, linked
+
+
+def articles(e: Element) -> bool:
+    """Whether an element begins an article, or one below it does."""
+    return is_article(e.label) or any(articles(x) for g in e.groups for x in g.elements.values())
+
+
 def silent(name: str, kind: str, within: bool) -> bool:
     """An element of no article; within: it lies in one."""
     if name in SILENT or kind in ("advert", "comments", "notice", "menu", "side", "foot", "hidden"):
@@ -573,9 +600,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     slots = cut_lineage(whole.select("host", "wrapper", "places", "said").mapInArrow(_slots, "host string, slots binary"))
     schema = T.StructType([column(pages, id_col), column(pages, url_col), *T.StructType.fromDDL("text string, n_chars long").fields])
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    # a host's pages are dealt over SALTS tasks, each with the host's slots
-    salt = F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(SALTS)).cast("int")
-    own = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html"), name.alias("__host"), salt.alias("__salt"))
-    slots = slots.select("host", "slots", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = own.join(slots, (own["__host"] == slots["host"]) & (own["__salt"] == slots["salt"]), "left")
+    own = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html"), name.alias("__host"))
+    size = slots.agg(F.sum(F.octet_length("slots") + F.octet_length("host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        slots = F.broadcast(slots)  # else the join is left to Spark, which splits a host that has very many pages
+    joined = own.join(slots, own["__host"] == slots["host"], "left")
     return joined.select(F.col(id_col), F.col(url_col), "__html", "slots").mapInArrow(_Apply(schema), schema)
