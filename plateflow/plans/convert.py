@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +110,40 @@ def convert(files: DataFrame, options: Options = Options()) -> DataFrame:
     return files.select(F.col("path"), F.col("content")).mapInArrow(run, "path string, filename string, content binary, error string")
 
 
+def convert_pages(files: DataFrame, options: Options = Options(split=True), tasks: int | None = None) -> DataFrame:
+    """convert() with a row, and so a share of a task, for each page: what long documents need, whose pages are written apart.
+
+    Pages are numbered where files are read; then (path, page) rows are dealt over the tasks, and each reads its file by its
+    path and decodes that page alone. Outputs are those of convert() with split.
+    """
+    spark = files.sparkSession
+    options = replace(options, split=True)
+    link = spark.sparkContext.broadcast(device_link_array(spark, options.tac, options.limiter))
+    numbered = I.page_numbers(files)
+    failed = numbered.where("error IS NOT NULL").select("path", F.lit(None).cast("string").alias("filename"), F.lit(None).cast("binary").alias("content"), "error")
+    wanted = numbered.where("error IS NULL").select("path", "page_number")
+    if options.pages:
+        wanted = wanted.where(F.col("page_number").isin(list(options.pages)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..sources.ranges import RangeFile
+
+        for batch in batches:
+            for path, n in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    file = RangeFile(path)
+                    data = file.read(0, file.size)
+                    file.close()
+                    made = list(outputs(data, replace(options, pages=(n,)), link.value).items())
+                    rows = [[path] * len(made), [k for k, _ in made], [b for _, b in made], [None] * len(made)]
+                except I.ERRORS as e:
+                    rows = [[path], [None], [None], [f"{type(e).__name__}: {e}"]]
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.string(), pa.string(), pa.binary(), pa.string()))], names=["path", "filename", "content", "error"])
+
+    dealt = wanted.repartition(tasks or spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, "path string, filename string, content binary, error string").unionByName(failed)
+
+
 def apart(outputs: DataFrame) -> DataFrame:
     """convert()'s rows, each file name below a folder of its input's: the input's name and a hash of its whole path.
 
@@ -123,11 +157,11 @@ def apart(outputs: DataFrame) -> DataFrame:
 def source_pages(data: bytes, options: Options) -> tuple[str, list[Page]]:
     """The job's default name and the pages."""
     kind = I.kind_of(data)
-    if kind in ("xcf", "clip"):
+    if kind == "xcf":
         raise Unsupported(f"the samples of a file of kind {kind} aren't read")
-    if kind in ("png", "jpeg", "tiff", "bmp", "tga", "webp", "raw", "psd"):
+    if kind in ("clip", "png", "jpeg", "tiff", "bmp", "tga", "webp", "raw", "psd"):
         return "image", [page_of(I.decode_image(data, kind))]
-    return "document", I.decode_pages(data, images=True)[2]
+    return "document", I.decode_pages(data, images=True, only=set(options.pages) if options.pages else None)[2]
 
 
 def select(pages: list[Page], wanted: tuple[int, ...] | None) -> list[Page]:

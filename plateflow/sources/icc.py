@@ -98,9 +98,40 @@ def curve(tag: bytes):
     raise Damaged("no curve")
 
 
+def _curves(tag: bytes, at: int, n: int) -> list:
+    """n curves that stand one after the other, each at a multiple of four, as functions."""
+    rows = []
+    for _ in range(n):
+        if at + 12 > len(tag):
+            raise Damaged("a curve is cut off")
+        kind, count = tag[at : at + 4], struct.unpack_from(">I", tag, at + 8)[0]
+        size = 12 + 2 * count if kind == b"curv" else 12 + 4 * PARAMETERS[min(count >> 16, 4)]
+        rows.append(unit_curve(tag[at : at + size]))
+        at += size + -size % 4
+    return rows
+
+
+def _curve_table(tag: bytes) -> dict:
+    """A table between curves (mAB: A, grid, B; mBA: B, grid, A); a grid has its own number of nodes on each axis."""
+    n_in, n_out = tag[8:10]
+    at_b, _, _, at_grid, at_a = struct.unpack_from(">5I", tag, 12)
+    if not at_grid or not at_a:
+        raise Damaged("curves without a table")
+    nodes, step = list(tag[at_grid : at_grid + n_in]), tag[at_grid + 16]
+    form, top = (np.uint8, 255) if step == 1 else (np.dtype(">u2"), 65_535)
+    count = int(np.prod(nodes)) * n_out
+    if at_grid + 20 + step * count > len(tag):
+        raise Damaged("a table is cut off")
+    grid = (np.frombuffer(tag, form, count, at_grid + 20) / top).reshape(*nodes, n_out)
+    first, last = (at_a, at_b) if tag[:4] == b"mAB " else (at_b, at_a)
+    return {"matrix": np.eye(3), "input": _curves(tag, first, n_in), "grid": grid, "output": _curves(tag, last, n_out)}
+
+
 def table(tag: bytes) -> dict:
-    """A lut8 or lut16 tag: input curves, a grid and output curves, as unit values; `matrix` counts for XYZ alone."""
+    """A lut8, lut16, mAB or mBA tag: input curves, a grid and output curves, as unit values; `matrix` counts for XYZ alone."""
     kind = tag[:4]
+    if kind in (b"mAB ", b"mBA "):
+        return _curve_table(tag)
     if kind not in (b"mft1", b"mft2"):
         raise Damaged("no table")
     n_in, n_out, grid = tag[8:11]
@@ -122,14 +153,16 @@ def table(tag: bytes) -> dict:
 
 def evaluate(lut: dict, values: np.ndarray) -> np.ndarray:
     """Unit values (n, inputs) through curves, grid (simplex interpolation) and curves."""
-    def curves(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def curves(rows, v: np.ndarray) -> np.ndarray:
+        if isinstance(rows, list):
+            return np.stack([np.clip(f(np.clip(v[:, i], 0, 1)), 0, 1) for i, f in enumerate(rows)], axis=1)
         x = np.linspace(0, 1, rows.shape[1])
         return np.stack([np.interp(np.clip(v[:, i], 0, 1), x, rows[i]) for i in range(len(rows))], axis=1)
 
     v, grid = curves(lut["input"], np.asarray(values, float)), lut["grid"]
-    n = grid.shape[0]
+    n = np.array(grid.shape[:-1])
     s = v * (n - 1)
-    i = np.minimum(np.floor(s).astype(int), n - 2)
+    i = np.maximum(0, np.minimum(np.floor(s).astype(int), n - 2))
     d = s - i
     order = np.argsort(-d, axis=1, kind="stable")
     rest = np.take_along_axis(d, order, axis=1)

@@ -36,7 +36,7 @@ def kind_of(data: bytes) -> str:
             return office.kind_of(data)
         except (Damaged, Unsupported):
             return "cdr" if any(n.startswith("content/riffData") for n in _names(data)) else "zip"
-    if b"%PDF-" in data[:1024]:
+    if b"%PDF-" in data[:32_768]:  # a drawing program's file may have it behind bytes of its own
         return "pdf"
     head = data[:1024].decode("latin1")
     if "<svg" in head:
@@ -60,17 +60,22 @@ def decode_image(data: bytes, kind: str | None = None, scale: int = 1) -> Image:
         return jpeg.decode(data, scale)
     if kind == "psd":
         return layered_files.flatten(layered_files.psd(data))
+    if kind == "clip":
+        doc = layered_files.clip(data)
+        if doc.preview is None:
+            raise Unsupported("a drawing without a preview")
+        return doc.preview
     readers: dict[str, Callable[[bytes], Image]] = {"png": raster_files.png, "tiff": raster_files.tiff, "bmp": raster_files.bmp, "tga": raster_files.tga, "webp": raster_files.webp, "raw": raw_files.raw}
     if kind not in readers:
         raise Unsupported(f"no image in a file of kind {kind}")
     return readers[kind](data)
 
 
-def decode_pages(data: bytes, images: bool = False) -> tuple[str, str | None, list[pdf.Page]]:
-    """Kind, title and pages of a document."""
+def decode_pages(data: bytes, images: bool = False, only: set[int] | None = None) -> tuple[str, str | None, list[pdf.Page]]:
+    """Kind, title and pages of a document; only: pages of a print file whose contents are decoded."""
     kind = kind_of(data)
     if kind == "pdf":
-        return kind, *pdf.read_pages(data, images)
+        return kind, *pdf.read_pages(data[max(0, data.find(b"%PDF-", 0, 65_536)) :], images, only=only)
     if kind in ("eps", "djvu", "svg", "dxf", "dwg", "wmf", "emf", "cdr"):
         d = decode_drawing(data, kind)
         return kind, None, [office.page(i + 1, d.width, d.height, d.text, image=d.preview if i == 0 else None, paths=d.paths if i == 0 else []) for i in range(d.pages)]
@@ -158,6 +163,18 @@ def pages(source: DataFrame) -> DataFrame:
     return _mapped(source, rows, "kind string, title string, page_number int, media array<double>, crop array<double>, bleed array<double>, trim array<double>, text string, metadata map<string,string>")
 
 
+def page_numbers(source: DataFrame) -> DataFrame:
+    """A row for each page of documents and images, without decoding their pictures."""
+
+    def rows(data: bytes) -> list[dict]:
+        kind = kind_of(data)
+        if kind in ("png", "jpeg", "tiff", "bmp", "tga", "webp", "raw", "psd", "clip", "xcf"):
+            return [{"kind": kind, "page_number": 1}]
+        return [{"kind": kind, "page_number": p.number} for p in decode_pages(data, only=set())[2]]
+
+    return _mapped(source, rows, "kind string, page_number int")
+
+
 def path_commands(source: DataFrame) -> DataFrame:
     """A row for each command of drawings' paths."""
 

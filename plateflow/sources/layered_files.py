@@ -40,6 +40,7 @@ class Layered:
     color_space: str = "RGB"
     layers: list[Layer] = field(default_factory=list)
     icc: bytes | None = None
+    preview: Image | None = None
 
 
 class _Reader:
@@ -228,8 +229,17 @@ def xcf(data: bytes) -> Layered:
     return out
 
 
+def _preview(data: bytes) -> Image | None:
+    from .images import decode_image
+
+    try:
+        return decode_image(data)
+    except (Damaged, Unsupported, struct.error, ValueError, IndexError):
+        return None
+
+
 def clip(data: bytes) -> Layered:
-    """A drawing's size and layers from its database; the samples aren't decoded."""
+    """A drawing's size, layers and preview from its database; the layers' samples aren't decoded."""
     at = data.find(b"SQLite format 3\0")
     if at < 0:
         raise Damaged("no database")
@@ -242,6 +252,10 @@ def clip(data: bytes) -> Layered:
     if not width or not height:
         raise Damaged("a canvas without a size")
     out = Layered(int(width), int(height), int(dpi or 300), int(dpi or 300))
+    for row in tables.get("CanvasPreview", ([], []))[1]:
+        for blob in row:
+            if out.preview is None and isinstance(blob, bytes) and len(blob) > 8:
+                out.preview = _preview(blob)
     columns, rows = tables.get("Layer", ([], []))
     for row in rows:
         opacity = value(columns, row, "LayerOpacity")

@@ -417,13 +417,17 @@ class Page:
     paths: list = field(default_factory=list)  # of commands (op, args), in points from the upper left corner
 
 
-def read_pages(data: bytes, images: bool = True, scale: int = 1) -> tuple[str | None, list[Page]]:
-    """The title and the pages; boxes stand in for one another, and a page without any is Letter."""
+def read_pages(data: bytes, images: bool = True, scale: int = 1, only: set[int] | None = None) -> tuple[str | None, list[Page]]:
+    """The title and the pages; boxes stand in for one another, and a page without any is Letter.
+
+    only: numbers of the pages whose contents and images are decoded; of others the boxes alone are read.
+    """
     doc, out = Document(data), []
     for i, page in enumerate(doc.pages()):
         media = doc.box(page, "MediaBox") or [0.0, 0.0, 612.0, 792.0]
         crop = doc.box(page, "CropBox") or media
         bleed = doc.box(page, "BleedBox") or crop
-        text = doc.content(page).decode("latin1")
-        out.append(Page(i + 1, media, crop, bleed, doc.box(page, "TrimBox") or bleed, text, doc.image(page, scale) if images else None))
+        wanted = only is None or i + 1 in only
+        text = doc.content(page).decode("latin1") if wanted else ""
+        out.append(Page(i + 1, media, crop, bleed, doc.box(page, "TrimBox") or bleed, text, doc.image(page, scale) if images and wanted else None))
     return doc.info("Title"), out

@@ -474,6 +474,26 @@ def test_fonts():
     assert fonts.charstring(code) == [("M", [10, 20]), ("L", [15, 20]), ("L", [18, 20]), ("Z", [])]
 
 
+def test_ranges(spark, tmp_path):
+    from plateflow.sources import ranges
+
+    data = random.Random(4).randbytes(3_000_000)
+    (tmp_path / "big.bin").write_bytes(data)
+    f = ranges.RangeFile(str(tmp_path / "big.bin"))
+    assert f.size == len(data) and f.read(10, 20) == data[10:30] and f.read(2_999_990, 100) == data[-10:] and f.read(len(data), 5) == b""
+    assert f.read(5, 2_000_000) == data[5:2_000_005] and f.slice(100, 50).read(40, 20) == data[140:150]
+    for offset in (-1, len(data) + 1):
+        with pytest.raises(ValueError):
+            f.read(offset, 1)
+    f.close()
+    path = f"file://{tmp_path}/big.bin"
+    rows = spark.createDataFrame([(path, 7, 9), (path, -8, 100), (path, 10**9, 1), (f"file://{tmp_path}/none", 0, 1)], "path string, offset long, length long")
+    got = {r["offset"]: r for r in ranges.byte_ranges(rows).collect()}
+    assert bytes(got[7]["content"]) == data[7:16] and bytes(got[-8]["content"]) == data[-8:]
+    assert got[10**9]["error"].startswith("ValueError") and got[0]["error"]
+    assert [(r["length"]) for r in ranges.listed(images.files(spark, str(tmp_path))).collect()] == [len(data)]
+
+
 # Whole images
 
 def test_packed_resampling():

@@ -245,6 +245,18 @@ def test_convert(spark, folder, tmp_path):
     assert '"name":"image.tif"' in report(rows).where("path LIKE '%a.png'").first()["report"]
 
 
+def test_pages_as_tasks(spark, folder):
+    """Each page on its own gives the very bytes that the whole document gives."""
+    from plateflow.plans.convert import convert_pages
+
+    files = images.files(spark, str(folder))
+    options = Options(format="pdf/x-4", split=True, proofs=(72,))
+    rows = lambda t: sorted((r["path"], r["filename"] or "", r["content"] and bytes(r["content"]), bool(r["error"])) for r in t.collect())
+    many = [r for r in rows(convert_pages(files, options, tasks=5))]
+    assert [r for r in many if r[0].endswith(".pdf")] == [r for r in rows(convert(files, options)) if r[0].endswith(".pdf")]
+    assert len([r for r in many if r[0].endswith(".pdf")]) == 6 and [r[3] for r in many if "broken" in r[0]] == [True]
+
+
 def test_vectors_are_written(spark, folder):
     """A drawing's paths become strokes of the print file, in both kinds; y is turned."""
     for kind, black in (("pdf/x-1a", "0 0 0 1 K"), ("pdf/x-4", "0 0 0 RG")):
