@@ -12,8 +12,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the smallest node that it is connected with.
 
     Loops and repeated edges are harmless; an empty graph has no rows. Minima are aggregated before they are shuffled and
-    joined back, so a node with very many neighbours is never gathered in one place; each round's edges go to the shared
-    checkpoint folder. The number of rounds grows with the logarithm of the components' size.
+    joined back; each round's edges go to the shared checkpoint folder. The number of rounds grows with the logarithm of the
+    components' size. A node with very many neighbours is a hot key of the joins, whose rows Spark splits (adaptive skew
+    joins); it is never collected into one row.
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     links, before = cut_lineage(links), None
