@@ -615,3 +615,39 @@ def devicelink_packed(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(inks[:, i])) for i in range(4))], names=["l_orderkey", "l_linenumber", "c", "m", "y", "k"])
 
     return px(spark, sf_dir).select(*KEY, "r", "g", "b").mapInArrow(run, "l_orderkey long, l_linenumber int, c long, m long, y long, k long")
+
+
+PICTURE_KINDS = ["png", "jpeg", "tiff", "bmp", "psd", "xcf", "clip", "webp", "raw", "raw", "raw", "tga", "doc", "cdr", "cdr", "zip", "riff"]
+
+
+@register("picture_kinds", f"SELECT p_partkey, {PICTURE_KINDS}[p_partkey % {len(PICTURE_KINDS)} + 1] AS kind FROM part")
+def picture_kinds(spark, sf_dir):
+    """Which reader a picture goes to: camera files before plain TIFF, archives by their entries, and TGA for what nothing else is."""
+    small = np.zeros((2, 2), np.uint8)
+    heads = [
+        X.png_filtered(small), jpeg.encode(gray(np.zeros((8, 8)))), X.tiff(small), X.bmp(small), X.psd([], 1, 1), X.xcf(1, 1, 72.0, []), X.database({"Canvas": ("a, b", [(1, 2)])}), X.webp_head(1, 1, False), X.dng(small), b"FUJIFILMCCD-RAW " + bytes(100),
+        b"\0MRM" + bytes(100), X.tga(small), X.compound("WordDocument"), X.archive([("content/riffData1.cdr", b"")]), b"RIFF\0\0\0\0CDRvrsn", X.archive([("a.txt", "a")]), b"RIFF\0\0\0\0WAVE",
+    ]
+    kind = ["ole2" if k == "doc" else k for k in PICTURE_KINDS]
+    made = X.files_of(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", lambda r: heads[r["p_partkey"] % len(kind)])
+    return I.kinds(made).select(number().alias("p_partkey"), F.when(F.col("kind") == "ole2", "doc").otherwise(F.col("kind")).alias("kind"))
+
+
+CAMERAS = "SELECT s_suppkey, s_suppkey % 2 AS kind, s_suppkey % 15 * 1000 AS v FROM supplier WHERE s_suppkey % 10 < 3"
+
+
+@register("camera_raw_makers", f"SELECT s_suppkey, CASE kind WHEN 0 THEN 600 ELSE 400 END AS width, CASE kind WHEN 0 THEN 400 ELSE 300 END AS height, floor(round((CASE WHEN u <= 0.0031308 THEN u * 12.92 ELSE 1.055 * pow(u, 1 / 2.4::DOUBLE) - 0.055 END) * 255, 9) + 0.5)::INT AS v FROM (SELECT *, least(1, v / CASE kind WHEN 0 THEN 16383 ELSE 4095 END::DOUBLE) AS u FROM ({CAMERAS}))")
+def camera_raw_makers(spark, sf_dir):
+    """Files of two makers, with cells of one level: sizes, depths and places of their own."""
+
+    def build(r):
+        level = r["s_suppkey"] % 15 * 1000
+        if r["s_suppkey"] % 2 == 0:
+            return (b"FUJIFILMCCD-RAW ".ljust(84, b"\0") + struct.pack(">II", 200, 480_000)).ljust(200, b"\0") + struct.pack(">H", level) * 240_000
+        return b"\0MRM".ljust(128, b"\0") + struct.pack(">H", level) * 120_000
+
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey").where("s_suppkey % 10 < 3")
+    got = I.images(X.files_of(rows, "s_suppkey", build))
+    value = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int")
+    same = F.hex("data") == F.expr("repeat(hex(substring(data, 1, 1)), cast(octet_length(data) as int))")
+    return got.where(same).select(number().alias("s_suppkey"), "width", "height", value.alias("v"))
