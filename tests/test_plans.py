@@ -344,5 +344,12 @@ def test_command_line(spark, folder, tmp_path):
     assert page_numbers("1,3,5-8, x,9-7,2") == (1, 3, 5, 6, 7, 8, 2)
     a = arguments(["in", "out", "--tac", "newsprint", "--proofs", "72,native"])
     assert (a.tac, a.proofs) == (240.0, (72, "native"))
+    a = arguments(["-i", "in", "--output", "out", "-p", "-j", "4", "--page", "2", "--keep-resolution"])
+    assert (a.input, a.output, a.proofs, a.parallel, a.pages, a.keep_resolution) == ("in", "out", (72,), 4, (2,), True)
+    a = arguments(["-dBATCH", "-dSAFER", "-q", "-sDEVICE=tiffsep", "-r150x150", "-dFirstPage=2", "-dLastPage=4", "-dJPEGQ=70", "-sOutputFile=out", "in"])
+    assert (a.input, a.output, a.format, a.dpi, a.pages, a.quality, a.quiet) == ("in", "out", "tiffsep", 150.0, (2, 3, 4), 70, True)
+    assert arguments(["-dPDFSETTINGS=/screen", "-sDEVICE=tiff24nc", "-dLastPage=3", "a", "b"]).format == "tiff"
+    with pytest.raises(SystemExit):
+        arguments(["only-one"])
     assert main([str(folder / "d.pdf"), f"file://{tmp_path}", "--format", "pdf/x-4", "--split"]) == 0
     assert sorted(p.name for p in tmp_path.glob("d-*/*") if not p.name.startswith(".")) == ["page_1.pdf", "page_2.pdf", "page_3.pdf"]
