@@ -235,8 +235,11 @@ def decontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def brute_force(text: str | None, item: str | None) -> bool:
     """Whether any diagonal has a verified overlap; for tests."""
     a, b = (TOKEN.findall(lowered(x or "")) for x in (text, item))
-    if not b:
+    if not a or not b:
         return False
     codes = {w: i for i, w in enumerate({*a, *b})}
     x, y = np.array([codes[w] for w in a]), np.array([codes[w] for w in b])
-    return any(overlaps(x, y, d) for d in range(-len(b) + 1, len(a)))
+    # all pairs of places with one token; a diagonal with too few of them has no overlap
+    at, place = np.nonzero(x[:, None] == y[None, :])
+    diagonals, agreeing = np.unique(at - place, return_counts=True)
+    return any(overlaps(x, y, int(d)) for d in diagonals[agreeing >= (AGREE * OVERLAP if len(b) >= OVERLAP else len(b))])
