@@ -41,7 +41,7 @@ THREE = f"WITH {RASTER} SELECT image::BIGINT AS image, y::INT AS y, x::INT AS x,
 
 def _rasters():
     one = {
-        "png_filters": X.png_filtered, "tiff_plain": X.tiff, "tiff_big_endian": lambda v: X.tiff(v, order=">"), "tiff_lzw_predictor": lambda v: X.tiff(v, 5, 2), "tiff_deflate_predictor": lambda v: X.tiff(v, 8, 2),
+        "png_filters": X.png_filtered, "png_interlaced": X.png_interlaced, "tiff_plain": X.tiff, "tiff_big_endian": lambda v: X.tiff(v, order=">"), "tiff_lzw_predictor": lambda v: X.tiff(v, 5, 2), "tiff_deflate_predictor": lambda v: X.tiff(v, 8, 2),
         "tiff_packbits": lambda v: X.tiff(v, 32773), "tga_runs": X.tga, "tiff_write_read": lambda v: write_tiff(gray(v)), "tiff_write_plain": lambda v: write_tiff(gray(v), False), "png_write_read": lambda v: I.raster_files.write_png(gray(v)),
     }
     for name, build in one.items():

@@ -16,8 +16,29 @@ def need(data: bytes, at: int, n: int) -> None:
         raise Damaged(f"{n} bytes at {at} of {len(data)}")
 
 
+#: First column and row, and steps across and down, of the passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _png_samples(data: bytes, width: int, height: int, channels: int, depth: int, interlaced: int) -> np.ndarray:
+    """(height, width, channels) samples of filtered rows, as numbers of the file's depth."""
+    out, at = np.zeros((height, width, channels), np.dtype(">u2") if depth == 16 else np.uint8), 0
+    for x, y, across, down in PASSES if interlaced else ((0, 0, 1, 1),):
+        w, h = -(-(width - x) // across), -(-(height - y) // down)
+        if w <= 0 or h <= 0:
+            continue
+        row = (w * channels * depth + 7) // 8
+        raw = C.unfilter(data[at : at + (row + 1) * h], row, max(1, channels * depth // 8))
+        at += (row + 1) * h
+        if len(raw) < row * h:
+            raise Damaged("rows are missing")
+        part = C.unpack_bits(raw, w, h, channels, depth) if depth < 8 else np.frombuffer(raw, out.dtype, w * h * channels)
+        out[y::down, x::across] = part.reshape(h, w, channels)
+    return out
+
+
 def png(data: bytes, verify: bool = True) -> Image:
-    """All colour types and depths that aren't interlaced."""
+    """All colour types and depths, interlaced or not."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise Damaged("no PNG signature")
     at, head, palette, alpha, pixels, dpi, icc = 8, None, None, None, [], (300, 300), None
@@ -47,20 +68,13 @@ def png(data: bytes, verify: bool = True) -> Image:
     if not head:
         raise Damaged("no header")
     width, height, depth, color, _, _, interlaced = head
-    if interlaced:
-        raise Unsupported("interlaced PNG")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
     if not channels or depth not in (1, 2, 4, 8, 16):
         raise Damaged(f"colour type {color} of {depth} bits")
-    row = (width * channels * depth + 7) // 8
-    raw = C.unfilter(C.inflate(b"".join(pixels)), row, max(1, channels * depth // 8))
-    if len(raw) < row * height:
-        raise Damaged("rows are missing")
-    if depth < 8:
-        samples = C.unpack_bits(raw, width, height, channels, depth)
-        if color == 0:
-            samples = (samples.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-        raw = samples.tobytes()
+    samples = _png_samples(C.inflate(b"".join(pixels)), width, height, channels, depth, interlaced)
+    if depth < 8 and color == 0:
+        samples = (samples.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    raw = samples.tobytes()
     bits = 16 if depth == 16 else 8
     if color == 3:
         if palette is None:
