@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -14,10 +15,15 @@ from .helpers import clashing, documents
 TEXTS = [None, "", "one", "Don't stop; it's HERE <|endoftext|> we're", "Écoute ÀÉÎ õ ÿ ß × ÷ 12 345", "日本語 текст — “quoted” … naïve", "a" * 9000 + " " + "b c d " * 9000, "\t tab space\x0bvt\x85nel", "{}[]() $$$ &&& *** 3.14 1,000 ''s 'Tis", "word " * 2048, "İstanbul ŞAPKA ẞ ǅ ﬁ", " \n \n"]
 
 
-def expected(text):
+@lru_cache(1)
+def library():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def expected(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def checked(rows, wanted, capacity=2048):
