@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..functions.numeric import to_byte
 from ..operators import clut
+from ..operators.difference import ciede2000 as ciede2000_of
 from .ink_queries import limit_sql
 from .views import CMYK, KEY, LAB, PX, cmyk, lab, named, px
 
@@ -195,9 +196,9 @@ d7 AS (SELECT *, (l2 - l1) / (1 + 0.015 * (lm - 50) * (lm - 50) / sqrt(20 + (lm
 
 @register("ciede2000", f"WITH {DELTA_E} SELECT l_orderkey, l_linenumber, round(sqrt(greatest(0, x * x + y * y + z * z + rt * y * z)), 4) AS de FROM d7")
 def ciede2000(spark, sf_dir):
-    t = lab(spark, sf_dir)
     l, a, b = (F.col(v) for v in "lab")
-    return t.select(*KEY, F.round(color.ciede2000((l, a, b), (F.lit(100.0) - l, b / F.lit(2.0), a / F.lit(2.0) + F.lit(3.0))), 4).alias("de"))
+    t = lab(spark, sf_dir).withColumns({"l2": F.lit(100.0) - l, "a2": b / F.lit(2.0), "b2": a / F.lit(2.0) + F.lit(3.0)})
+    return ciede2000_of(t, ("l", "a", "b"), ("l2", "a2", "b2")).select(*KEY, F.round("de", 4).alias("de"))
 
 
 @register("rgb_to_cmyk_naive", f"WITH {UNIT}, n AS (SELECT *, least(1 - r, 1 - g, 1 - b) AS k FROM u) SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(CASE WHEN k >= 1 THEN 0 ELSE ((1 - {v}) - k) / (1 - k) END, 6) AS {o}" for v, o in zip(RGB, "cmy")) + ", round(CASE WHEN k >= 1 THEN 1 ELSE k END, 6) AS k FROM n")
