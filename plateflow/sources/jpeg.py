@@ -17,12 +17,108 @@ def _zigzag() -> np.ndarray:
 
 
 ZIGZAG = _zigzag()
-# The standard's Huffman tables (annex K): how many codes of each length, then the symbols.
-DC = {0: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12))), 1: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], list(range(12)))}
-AC = {
-    0: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], list(bytes.fromhex("0102030004110512213141061351610722711432 8191A1082342B1C11552D1F02433627282090A161718191A25262728292A3435363738393A434445464748494A535455565758595A636465666768696A737475767778797A838485868788898A92939495969798999AA2A3A4A5A6A7A8A9AAB2B3B4B5B6B7B8B9BAC2C3C4C5C6C7C8C9CAD2D3D4D5D6D7D8D9DAE1E2E3E4E5E6E7E8E9EAF1F2F3F4F5F6F7F8F9FA"))),
-    1: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], list(bytes.fromhex("0001020311040521310612415107617113223281 0814 4291A1B1C109233352F0156272D10A162434E125F11718191A262728292A35363738393A434445464748494A535455565758595A636465666768696A737475767778797A82838485868788898A92939495969798999AA2A3A4A5A6A7A8A9AAB2B3B4B5B6B7B8B9BAC2C3C4C5C6C7C8C9CAD2D3D4D5D6D7D8D9DAE2E3E4E5E6E7E8E9EAF2F3F4F5F6F7F8F9FA"))),
-}
+# The standard's Huffman tables (ISO 10918-1, annex K.3): for each length of a code, from 1 to 16 bits, its symbols.
+# fmt: off
+DC_LUMINANCE = [
+    [],
+    [0x00],
+    [0x01, 0x02, 0x03, 0x04, 0x05],
+    [0x06],
+    [0x07],
+    [0x08],
+    [0x09],
+    [0x0A],
+    [0x0B],
+    [],
+    [],
+    [],
+    [],
+    [],
+    [],
+    [],
+]
+DC_CHROMINANCE = [
+    [],
+    [0x00, 0x01, 0x02],
+    [0x03],
+    [0x04],
+    [0x05],
+    [0x06],
+    [0x07],
+    [0x08],
+    [0x09],
+    [0x0A],
+    [0x0B],
+    [],
+    [],
+    [],
+    [],
+    [],
+]
+AC_LUMINANCE = [
+    [],
+    [0x01, 0x02],
+    [0x03],
+    [0x00, 0x04, 0x11],
+    [0x05, 0x12, 0x21],
+    [0x31, 0x41],
+    [0x06, 0x13, 0x51, 0x61],
+    [0x07, 0x22, 0x71],
+    [0x14, 0x32, 0x81, 0x91, 0xA1],
+    [0x08, 0x23, 0x42, 0xB1, 0xC1],
+    [0x15, 0x52, 0xD1, 0xF0],
+    [0x24, 0x33, 0x62, 0x72],
+    [],
+    [],
+    [0x82],
+    [
+        0x09, 0x0A, 0x16, 0x17, 0x18, 0x19, 0x1A, 0x25, 0x26, 0x27, 0x28, 0x29, 0x2A, 0x34, 0x35, 0x36,
+        0x37, 0x38, 0x39, 0x3A, 0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x53, 0x54, 0x55, 0x56,
+        0x57, 0x58, 0x59, 0x5A, 0x63, 0x64, 0x65, 0x66, 0x67, 0x68, 0x69, 0x6A, 0x73, 0x74, 0x75, 0x76,
+        0x77, 0x78, 0x79, 0x7A, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x92, 0x93, 0x94, 0x95,
+        0x96, 0x97, 0x98, 0x99, 0x9A, 0xA2, 0xA3, 0xA4, 0xA5, 0xA6, 0xA7, 0xA8, 0xA9, 0xAA, 0xB2, 0xB3,
+        0xB4, 0xB5, 0xB6, 0xB7, 0xB8, 0xB9, 0xBA, 0xC2, 0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xCA,
+        0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7, 0xD8, 0xD9, 0xDA, 0xE1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7,
+        0xE8, 0xE9, 0xEA, 0xF1, 0xF2, 0xF3, 0xF4, 0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA,
+    ],
+]
+AC_CHROMINANCE = [
+    [],
+    [0x00, 0x01],
+    [0x02],
+    [0x03, 0x11],
+    [0x04, 0x05, 0x21, 0x31],
+    [0x06, 0x12, 0x41, 0x51],
+    [0x07, 0x61, 0x71],
+    [0x13, 0x22, 0x32, 0x81],
+    [0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1],
+    [0x09, 0x23, 0x33, 0x52, 0xF0],
+    [0x15, 0x62, 0x72, 0xD1],
+    [0x0A, 0x16, 0x24, 0x34],
+    [],
+    [0xE1],
+    [0x25, 0xF1],
+    [
+        0x17, 0x18, 0x19, 0x1A, 0x26, 0x27, 0x28, 0x29, 0x2A, 0x35, 0x36, 0x37, 0x38, 0x39, 0x3A, 0x43,
+        0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59, 0x5A, 0x63,
+        0x64, 0x65, 0x66, 0x67, 0x68, 0x69, 0x6A, 0x73, 0x74, 0x75, 0x76, 0x77, 0x78, 0x79, 0x7A, 0x82,
+        0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99,
+        0x9A, 0xA2, 0xA3, 0xA4, 0xA5, 0xA6, 0xA7, 0xA8, 0xA9, 0xAA, 0xB2, 0xB3, 0xB4, 0xB5, 0xB6, 0xB7,
+        0xB8, 0xB9, 0xBA, 0xC2, 0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xCA, 0xD2, 0xD3, 0xD4, 0xD5,
+        0xD6, 0xD7, 0xD8, 0xD9, 0xDA, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEA, 0xF2, 0xF3,
+        0xF4, 0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA,
+    ],
+]
+# fmt: on
+
+
+def _table(by_length: list[list[int]]) -> tuple[list[int], list[int]]:
+    """How many codes of each length there are, and all symbols."""
+    return [len(x) for x in by_length], [v for x in by_length for v in x]
+
+
+DC = {0: _table(DC_LUMINANCE), 1: _table(DC_CHROMINANCE)}
+AC = {0: _table(AC_LUMINANCE), 1: _table(AC_CHROMINANCE)}
 
 
 def codes(counts: list[int], symbols: list[int]) -> dict[tuple[int, int], int]:
