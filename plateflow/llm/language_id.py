@@ -30,7 +30,7 @@ FEATURES, LEXICON, CHAIN = 1 << 18, 3, 64
 #: Gradient steps, their size, the penalty on squared weights, and the share of training chains that are spliced.
 STEPS, RATE, PENALTY, SPLICED = 40, 0.3, 1e-3, 0.3
 #: Words whose scores a worker remembers; characters that are handled at once.
-REMEMBERED, AT_ONCE = 150_000, 700_000
+REMEMBERED, AT_ONCE = 400_000, 700_000
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Text in which exactly these letters make words: ASCII and Latin-1.
