@@ -119,7 +119,7 @@ def edited_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Each row's text against its edited text and the next row's text, by descending id; the first follows the last.
 
     Rows of equal ids are in the order of their texts; null ids come last; null texts count as empty; a single row follows
-    itself. id must be numeric. Rows are dealt by ranges of ids whose bounds come from quantiles, sorted there and read as a
+    itself. id must be numeric; rows of one id, and rows without one, are one range, which isn't split. Rows are dealt by ranges of ids whose bounds come from quantiles, sorted there and read as a
     stream; the first text of each range is sent along to the range before it. So texts are shuffled once, memory is bounded
     by a batch, and the driver sees a few numbers for each range.
     """
