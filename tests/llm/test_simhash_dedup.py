@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from plateflow.llm import shingle_links as L
 from plateflow.llm import simhash_dedup as S
 from plateflow.llm.components import connected_components
 from plateflow.llm.queries import op2_simhash_dedup
@@ -140,3 +141,60 @@ def test_keep_one_links_whatever_is_similar(spark):
     kept = S.keep_one(documents(spark, texts).repartition(3), least=0.8)
     assert far > 10 and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if find(i) == i]
     assert S.keep_one(documents(spark, texts).where("false"), least=0.8).collect() == []
+
+
+def near_roots(texts, least=0.8):
+    """The least place that each text is linked with by similarity alone, by comparing all pairs."""
+    sets, root = [set(S.shingle_codes(t, 5).tolist()) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and (shared := len(x & sets[j])) >= least * (len(x) + len(sets[j]) - shared):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def found_roots(spark, texts, bucket=L.BUCKET):
+    df = documents(spark, texts).repartition(3)
+    codes = [S.shingle_codes(t, 5) for t in texts]
+    own = [L.signed(np.unique(c)) for c in codes]
+    marks = spark.createDataFrame([(i, *(x.tolist() if isinstance(x, np.ndarray) else bytearray(x) if isinstance(x, bytes) else x for x in L.sketch(c))) for i, c in enumerate(codes)], "id long, " + L.SKETCH)
+    links = [(own.index(r["a"]), own.index(r["b"])) for r in L.similar(df, marks, lambda t: S.shingle_codes(t, 5), least=0.8, bucket=bucket).collect()]
+    root = list(range(len(texts)))
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("bucket", [L.BUCKET, 6])
+def test_similar_links_crowds_without_loss(spark, bucket):
+    """In crowds of texts about as similar as the threshold, and with a line that all share, no link between groups is lost."""
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    line, texts = words(12), []
+    for _ in range(4):
+        base = words(160)
+        for _ in range(90):
+            other = list(base)
+            for at in rng.sample(range(160), rng.choice([3, 4, 4, 5])):
+                other[at] = words(1)[0]
+            texts.append(" ".join(other + line))
+    want = near_roots(texts)
+    assert len(texts) > len(set(want)) > 8
+    assert found_roots(spark, texts, bucket) == want
+
+
+def test_similar_decides_large_sets_exactly(spark):
+    """One shingle more or less decides, in sets that are compared in parts too."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    texts = []
+    for n in (3000, 9000, 5000, 20_000, 4100):
+        base = [word() for _ in range(n + 4)]
+        most = n + int(0.25 * n)  # n / most is 0.8, or just more
+        for extra in (0, 1):
+            texts.append(" ".join(base + [word() for _ in range(most - n + extra)]))
+        texts.append(" ".join(base))
+    want = near_roots(texts)
+    assert found_roots(spark, texts) == want and len(set(want)) < len(texts)
