@@ -103,10 +103,9 @@ def webp_sizes(spark, sf_dir):
 
 @register("camera_raw_gray", "WITH v AS (SELECT p_partkey, (p_size * 1300)::DOUBLE / 65535 AS u FROM part) SELECT p_partkey, 4 AS width, 4 AS height, floor(round((CASE WHEN u <= 0.0031308 THEN u * 12.92 ELSE 1.055 * pow(u, 1 / 2.4::DOUBLE) - 0.055 END) * 255, 9) + 0.5)::INT AS darkest, darkest AS lightest FROM v")
 def camera_raw_gray(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    rows = X.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     got = I.images(X.files_of(rows, "p_partkey", lambda r: X.dng(np.full((4, 4), r["p_size"] * 1300))))
-    size = got.select("path", "width", "height")
-    return I.pixels(got).join(size, "path").groupBy("path", "width", "height").agg(F.min(F.array_min("v")).alias("darkest"), F.max(F.array_max("v")).alias("lightest")).select(number().alias("p_partkey"), "width", "height", "darkest", "lightest")
+    return I.blocks(got).select(number().alias("p_partkey"), "width", "height", "darkest", "lightest")
 
 
 # Layers

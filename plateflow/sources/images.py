@@ -8,13 +8,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fonts, icc, jpeg, layered_files, office, pdf, raster_files, raw_files, vector_files
 from .containers import Archive, sqlite_tables
 from .model import Damaged, Image, Unsupported
 
+#: Rows of files that are handed on at once number so many, or have so many bytes, and one file more.
+HELD_ROWS, HELD_BYTES = 1000, 4 << 20
 ERRORS = (Damaged, Unsupported, struct.error, zlib.error, ValueError, IndexError, KeyError, TypeError, OverflowError, RecursionError, AttributeError)
 
 
@@ -99,12 +101,19 @@ class _Each:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     rows = self.fn(content.as_py() or b"")
                 except ERRORS as e:
                     rows = [{"error": f"{type(e).__name__}: {e}"}]
-                yield pa.RecordBatch.from_pylist([{n: (path if n == "path" else r.get(n)) for n in self.names} for r in rows], schema=self.schema)
+                held += [{n: (path if n == "path" else r.get(n)) for n in self.names} for r in rows]
+                size += sum(len(v) for r in rows for v in r.values() if isinstance(v, (bytes, str)))
+                if len(held) >= HELD_ROWS or size >= HELD_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=self.schema)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=self.schema)
 
     schema: pa.Schema
 
@@ -308,3 +317,39 @@ def pixels(source: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(at // width), pa.array(at % width), values], names=["path", "y", "x", "v"])
 
     return source.where("error IS NULL AND bits = 8").select("path", "width", "height", "channels", "data").mapInArrow(cut, "path string, y int, x int, v array<int>")
+
+
+def sample_at(x: int, y: int) -> Column:
+    """The first sample of a pixel of 8-bit images, as an expression on their rows; null outside."""
+    at = (F.lit(y) * F.col("width") + F.lit(x)) * F.col("channels") + 1
+    inside = (F.lit(x) < F.col("width")) & (F.lit(y) < F.col("height")) & (F.col("bits") == 8)
+    return F.when(inside, F.conv(F.hex(F.substring("data", at, F.lit(1))), 16, 10).cast("int"))
+
+
+def blocks(source: DataFrame, side: int | None = None) -> DataFrame:
+    """(path, width, height, y, x, darkest, lightest, samples): squares of 8-bit images (without a side, whole images) by their
+    place among the squares, the extremes of all their channels and their number of pixels. One row for a square, not for a pixel."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, out, held = [], [], 0
+            for path, width, height, channels, data in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = np.frombuffer(data, np.uint8)[: width * height * channels].reshape(height, width * channels)
+                tops, lefts = np.arange(0, height, side or height), np.arange(0, width, side or width)
+                least, most = (f.reduceat(f.reduceat(lines, tops, axis=0), lefts * channels, axis=1).ravel() for f in (np.minimum, np.maximum))
+                pixels = np.outer(np.diff(tops, append=height), np.diff(lefts, append=width)).ravel()
+                y, x = np.divmod(np.arange(len(least)), len(lefts))
+                paths += [path] * len(least)
+                out.append(np.stack([np.full(len(least), width), np.full(len(least), height), y, x, least, most, pixels]))
+                held += len(least)
+                if held >= 1 << 16:
+                    yield made(paths, out)
+                    paths, out, held = [], [], 0
+            if out:
+                yield made(paths, out)
+
+    def made(paths: list[str], out: list[np.ndarray]) -> pa.RecordBatch:
+        columns = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array(c.astype(np.int32)) for c in columns[:6]), pa.array(columns[6].astype(np.int64))], names=["path", "width", "height", "y", "x", "darkest", "lightest", "samples"])
+
+    return source.where("error IS NULL AND bits = 8").select("path", "width", "height", "channels", "data").mapInArrow(cut, "path string, width int, height int, y int, x int, darkest int, lightest int, samples long")

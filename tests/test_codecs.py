@@ -516,3 +516,27 @@ def test_plates():
     assert set(raster_files.tiff(plates["job_Yellow.tif"]).data) == {128}
     spots = Image(2, 2, 5, bytes(20), color_space="DEVICE_N", spots=["PANTONE 185 C"])
     assert "job_PANTONE_185_C.tif" in write_plates(spots)
+
+
+def test_blocks_and_samples_are_those_of_pixels(spark):
+    """Squares and single samples come without a row for each pixel, and are what the pixels say; damaged files don't count."""
+    from plateflow.plans import fixtures as X
+    from plateflow.sources import images as I
+
+    rng = np.random.default_rng(8)
+    made = [(str(i), bytearray(X.png_filtered(rng.integers(0, 256, (5 + i, 19 - i)).astype(np.uint8)))) for i in range(6)]
+    got = I.images(spark.createDataFrame([*made, ("bad", bytearray(b"\x89PNG\r\n\x1a\n"))], "path string, content binary"))
+    assert got.where("error IS NOT NULL").count() == 1
+    pixels = I.pixels(got).collect()
+    for side in (4, None):
+        want = {}
+        for p in pixels:
+            want.setdefault((p["path"], p["y"] // side if side else 0, p["x"] // side if side else 0), []).append(p["v"][0])
+        found = {(r["path"], r["y"], r["x"]): (r["darkest"], r["lightest"], r["samples"]) for r in I.blocks(got, side).collect()}
+        assert found == {k: (min(v), max(v), len(v)) for k, v in want.items()}
+    at = {p["path"]: p["v"][0] for p in pixels if (p["y"], p["x"]) == (4, 15)}
+    assert {r["path"]: r["v"] for r in got.where("error IS NULL").select("path", I.sample_at(15, 4).alias("v")).collect()} == {str(i): at.get(str(i)) for i in range(6)}
+
+
+def test_tables_of_codes_are_made_once():
+    assert jpeg.lookup((0, 2), (1, 2)) is jpeg.lookup((0, 2), (1, 2))
