@@ -79,7 +79,7 @@ def _blocks(r: dict) -> np.ndarray:
 
 
 def _jpegs(spark, sf_dir):
-    return X.files_of(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", lambda r: jpeg.encode(gray(_blocks(r)), 100))
+    return X.files_of(X.dealt(table(spark, sf_dir, "part").select("p_partkey")), "p_partkey", lambda r: jpeg.encode(gray(_blocks(r)), 100))
 
 
 @register("jpeg_blocks", f"SELECT p_partkey, b, v::INT AS darkest, v::INT AS lightest, 64::BIGINT AS samples FROM ({BLOCKS})")
