@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,43 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """In this block, what an action has shuffled is deleted as it ends, and not when the driver happens to collect garbage.
+
+    That holds for DataFrames that are made here; such that are returned should be made after it, as whoever gets them may
+    run them again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """In this block, what an action has shuffled is deleted as it ends, and not when the driver happens to collect garbage.
+
+    That holds for DataFrames that are made here; what is returned to others, who may run it again, is made after the block.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def per_block(
     df: DataFrame,
     columns: dict[str, str],

@@ -232,7 +232,7 @@ def similar(df: DataFrame, marks: DataFrame, codes_of: Callable, id_col: str = "
     sets = cut_lineage(marks.where("n > 0").select("own", "n", "bands", "values").dropDuplicates(["own"]))
     judged = lambda pairs: _judged(df, marks, pairs, codes_of, id_col, text_col, least)
     values = sets.select("own", "n", "values")
-    rows, links, labels = sets.select("own", F.explode("bands").alias("key")), None, None
+    rows, links, labels = _shared(sets.select("own", F.explode("bands").alias("key"))), None, None
     for turn in range(ROUNDS):
         labelled = rows.withColumn("label", F.col("own")) if labels is None else rows.join(labels, "own", "left").withColumn("label", F.coalesce("label", "own"))
         found = judged(_likest(labelled, values, least, turn))
@@ -242,6 +242,18 @@ def similar(df: DataFrame, marks: DataFrame, codes_of: Callable, id_col: str = "
     return links.unionByName(judged(_estimates(met, values, least).where(F.col("estimate") >= least - BELOW)))
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (own, key) of keys that several sets have; few sets share one, and only such rows are needed in each round."""
+    several = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    return cut_lineage(rows.join(several, "key"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (own, key) whose key several sets have; others meet none, in any round."""
+    several = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    return cut_lineage(rows.join(several, "key"))
+
+
 def _prefixes(df: DataFrame, codes_of: Callable, text_col: str, least: float) -> DataFrame:
     """(own, n, prefix) of df's rows; a set may come from several."""
     common = df.sparkSession.sparkContext.broadcast(common_codes(df, codes_of, text_col))

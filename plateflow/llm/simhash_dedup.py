@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, edit_rows, field, per_block
+from .common import cut_lineage, edit_rows, field, per_block, releasing
 from .components import connected_components
 from .shingle_links import SKETCH, similar, sketch
 
@@ -31,6 +31,8 @@ BUCKET = 4096
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 SHINGLES_AT_ONCE = 1 << 16
+#: Ids up to which they are broadcast, so that texts aren't shuffled.
+IDS = 1 << 21
 
 
 def shingle_codes(text: str | None, shingle: int = 3) -> np.ndarray:
@@ -199,12 +201,8 @@ def _similar(df: DataFrame, marks: DataFrame, id_col: str, text_col: str, shingl
     return alike.unionByName(found.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, least: float | None = None) -> DataFrame:
-    """df's rows, one of each component: that of the least id, and of these that of the least fingerprint.
-
-    With least, texts whose distinct shingles have that Jaccard similarity or more are linked too, whatever their
-    fingerprints. All columns stay. Repeated rows of that id and fingerprint become one.
-    """
+def _kept(df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, least: float | None) -> tuple[DataFrame, DataFrame]:
+    """What stays (__id, __fp, __times, __rows: how many rows have that id and fingerprint, and that id), and all ids (__id)."""
     if least is None:
         marks, more = cut_lineage(fingerprints(df, id_col, text_col, shingle)), None
     else:
@@ -222,10 +220,27 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     kept = own.join(rooted, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "times")).alias("k")).select("k.id", "k.fp", "k.times")
     rows = marks.groupBy("id").agg(F.count("*").alias("rows"))
     kept = cut_lineage(kept.join(rows.select(F.col("id").alias("own"), "rows"), F.col("id").eqNullSafe(F.col("own"))).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("times").alias("__times"), F.col("rows").alias("__rows")))
+    return kept, marks.select(F.col("id").alias("__id")).distinct()
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, least: float | None = None) -> DataFrame:
+    """df's rows, one of each component: that of the least id, and of these that of the least fingerprint.
+
+    With least, texts whose distinct shingles have that Jaccard similarity or more are linked too, whatever their
+    fingerprints. All columns stay. Repeated rows of that id and fingerprint become one.
+    """
+    with releasing(df.sparkSession):
+        kept, ids = _kept(df, id_col, text_col, shingle, radius, least)
+        one, several = kept.where("__rows = 1").select("__id"), kept.where("__rows > 1")
+        own = one.withColumnRenamed("__id", "__own")
+        rest = cut_lineage(ids.join(own, F.col("__id").eqNullSafe(F.col("__own")), "left_anti"))
+        again, stay, go = cut_lineage(several.select("__id").distinct()), one.count(), rest.count()
+        repeated = again.count()
     # an id that only one row has tells which row; texts are read once, and for other ids alone marked again
-    out = df.join(kept.where("__rows = 1").select("__id"), df[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    several = kept.where("__rows > 1")
-    if several.isEmpty():
+    told, how = (rest, "left_anti") if go < stay else (one, "left_semi")
+    told = F.broadcast(told) if min(go, stay) <= IDS else told
+    out = df.join(told, df[id_col].eqNullSafe(told["__id"]), how)
+    if not repeated:
         return out
     place = df.schema.names.index(text_col)
     schema = T.StructType([*df.schema.fields, T.StructField("__own", T.LongType())])
@@ -234,8 +249,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         fps = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array(fps)], names=[*rows.schema.names, "__own"])
 
-    ids = several.select("__id").distinct()
-    rows = edit_rows(df.join(ids, df[id_col].eqNullSafe(ids["__id"]), "left_semi"), df.schema.names[place], marked, schema)
+    again = F.broadcast(again) if repeated <= IDS else again
+    rows = edit_rows(df.join(again, df[id_col].eqNullSafe(again["__id"]), "left_semi"), df.schema.names[place], marked, schema)
     rows = rows.join(several, rows["__own"].eqNullSafe(several["__fp"]) & rows[id_col].eqNullSafe(several["__id"]))
-    again = rows.where("__times > 1").dropDuplicates(["__id", "__fp"])
-    return out.unionByName(rows.where("__times = 1").unionByName(again).select(*[f"`{c}`" for c in df.columns]))
+    once = rows.where("__times > 1").dropDuplicates(["__id", "__fp"])
+    return out.unionByName(rows.where("__times = 1").unionByName(once).select(*[f"`{c}`" for c in df.columns]))

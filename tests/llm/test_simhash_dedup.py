@@ -198,3 +198,50 @@ def test_similar_decides_large_sets_exactly(spark):
         texts.append(" ".join(base))
     want = near_roots(texts)
     assert found_roots(spark, texts) == want and len(set(want)) < len(texts)
+
+
+def shuffled(spark):
+    """Files of shuffles that are on disk."""
+    from pathlib import Path
+
+    return {p for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*")}
+
+
+@pytest.mark.parametrize("ids", [None, [0, 1, 2, 3, 3, 3, 4, None, None]])
+def test_keep_one_leaves_no_shuffles_and_shuffles_no_texts(spark, ids):
+    """What its steps have shuffled is gone when they end, and the texts that stay are found where they are read."""
+    import time
+
+    from plateflow.llm.common import releasing
+
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(80)]
+    texts = [" ".join(base), " ".join(base), " ".join(base[:70]), " ".join(base[::-1]), " ".join(base[:40]), " ".join(base[:40]), "a b", None, "c d"]
+    name, before = "spark.sql.autoBroadcastJoinThreshold", shuffled(spark)
+    release = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    told = spark.conf.get(release, None)
+    df = documents(spark, texts, ids)
+    spark.conf.set(name, "-1")
+    try:
+        kept = S.keep_one(df, least=0.8)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        end = time.time() + 5
+        while (left := shuffled(spark) - before) and time.time() < end:
+            time.sleep(0.1)
+        assert not left
+        if ids is None:
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        rows = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in kept.collect())
+        assert rows == sorted((-1 if i is None else i, texts[k] or "") for k, i in ([(x, x) for x in (0, 3, 4, 6, 7, 8)] if ids is None else [(0, 0), (3, 3), (4, 3), (6, 4), (7, None), (8, None)]))
+    finally:
+        spark.conf.unset(name)
+    with pytest.raises(ZeroDivisionError), releasing(spark):
+        assert spark.conf.get(release) == "true"
+        1 / 0  # noqa: B018
+    assert spark.conf.get(release, None) == told
+
+
+def test_rounds_read_shared_keys_alone(spark):
+    """Keys that one set has are left out before the rounds; no row of another key is."""
+    rows = [(1, 10), (2, 10), (1, 11), (3, 12), (2, 13), (3, 13), (4, 13)]
+    assert sorted(tuple(r) for r in L._shared(spark.createDataFrame(rows, "own long, key long")).select("own", "key").collect()) == sorted(r for r in rows if r[1] in (10, 13))
