@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mixed, per_block
+from .common import cut_lineage, mixed, per_block, release
 from .components import connected_components
 
 #: Minimum hashes of a set, its keys and the values in each, rounds against the first set of a place, and sets compared in one place.
@@ -39,6 +39,8 @@ PARITIES = 1024
 ABOVE, BELOW = 0.15, 0.3
 #: Shingles of a set that are compared at once.
 WHOLE = 4096
+#: Pairs of a place that are looked at at once, and pairs of a batch: what a task holds besides a place.
+PAIRS_AT_ONCE, PAIRS_OUT = 1 << 18, 1 << 16
 #: The sample that tells common shingles: a share of the rows, within bounds; in how many sets a common one is, and how many are kept.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST, COMMON, COMMON_MOST = 64, 2048, 65_536, 3, 1 << 20
 #: Bits of the table that tells which rows' sets are needed.
@@ -155,6 +157,7 @@ class _Meetings:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, crowd = None, None
+        release(__name__)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -180,6 +183,7 @@ class _Meetings:
                 held, crowd = None, held[0, 0]
         if held is not None:
             yield from self.places(held, np.zeros(1, np.int64))
+        release(__name__)
 
     def places(self, rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not rows.shape[1]:
@@ -194,16 +198,17 @@ class _Meetings:
                 continue
             for pairs in self.compared(place):
                 found.append(pairs)
-                if sum(p.shape[1] for p in found) > 1 << 16:
-                    yield self.pairs(found)
+                if sum(p.shape[1] for p in found) > PAIRS_OUT:
+                    yield from self.pairs(found)
                     found = []
         if found:
-            yield self.pairs(found)
+            yield from self.pairs(found)
 
     def compared(self, place: np.ndarray) -> Iterator[np.ndarray]:
         own, label, n, left = place[1], place[3], place[2] >> 32, place[2] & 0xFFFFFFFF
-        for i in range(0, len(own), 256):
-            part = slice(i, i + 256)
+        step = max(1, PAIRS_AT_ONCE // len(own))
+        for i in range(0, len(own), step):
+            part = slice(i, i + step)
             may = np.minimum(left[part, None], left) >= self.least / (1 + self.least) * (n[part, None] + n) - 1e-9
             may &= (label[part, None] != label) & (own[part, None] < own)
             if len(place) > 4:
@@ -213,10 +218,12 @@ class _Meetings:
                 yield np.stack([own[part][x], own[y]])
 
     @staticmethod
-    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    def pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         both = np.unique(np.concatenate(found, axis=1), axis=1)
-        none = pa.nulls(both.shape[1], pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(both[0]), pa.array(both[1]), none, none], names=_Meetings.NAMES)
+        for i in range(0, both.shape[1], PAIRS_OUT):
+            a, b = (pa.array(x[i : i + PAIRS_OUT]) for x in both)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, a, b, none, none], names=_Meetings.NAMES)
 
     @staticmethod
     def crowded(rows: np.ndarray) -> pa.RecordBatch:

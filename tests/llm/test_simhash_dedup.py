@@ -245,3 +245,16 @@ def test_rounds_read_shared_keys_alone(spark):
     """Keys that one set has are left out before the rounds; no row of another key is."""
     rows = [(1, 10), (2, 10), (1, 11), (3, 12), (2, 13), (3, 13), (4, 13)]
     assert sorted(tuple(r) for r in L._shared(spark.createDataFrame(rows, "own long, key long")).select("own", "key").collect()) == sorted(r for r in rows if r[1] in (10, 13))
+
+
+def test_meetings_come_in_bounded_batches():
+    """A place where all sets meet gives all their pairs, at most 65,536 in a batch."""
+    import pyarrow as pa
+
+    n = 1024
+    own = pa.array(range(n), pa.int64())
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), own, pa.array(np.full(n, (100 << 32) | 100)), own], names=["key", "own", "size", "label"])
+    found = list(L._Meetings(0.8, L.BUCKET)([rows]))
+    assert max(b.num_rows for b in found) <= 1 << 16
+    pairs = [p for b in found for p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+    assert len(pairs) == n * (n - 1) // 2 and all(a < b for a, b in set(pairs)) and len(set(pairs)) == len(pairs)
