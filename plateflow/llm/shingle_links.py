@@ -49,6 +49,8 @@ _TURNS = mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97
 
 #: Labels up to which they are broadcast.
 LABELS = 1 << 21
+#: Links up to which the driver joins them.
+FEW = 1 << 20
 #: Columns of sketch(): the set's code, size, keys, and the low 16 bits of its minimum hashes with its parities.
 SKETCH = "own long, n long, bands array<long>, values binary"
 
@@ -244,7 +246,7 @@ def similar(df: DataFrame, marks: DataFrame, codes_of: Callable, id_col: str = "
         labelled = rows.withColumn("label", F.col("own")) if labels is None else rows.join(labels, "own", "left").withColumn("label", F.coalesce("label", "own"))
         found = judged(_likest(labelled, values, least, turn))
         links = found if links is None else links.unionByName(found)
-        labels = cut_lineage(connected_components(links).select(F.col("node").alias("own"), F.col("root").alias("label")))
+        labels = cut_lineage(connected_components(links, FEW).select(F.col("node").alias("own"), F.col("root").alias("label")))
     met = _meeting(_prefixes(df, codes_of, text_col, least), labels, least, bucket)
     return links.unionByName(judged(_estimates(met, values, least).where(F.col("estimate") >= least - BELOW)))
 

@@ -258,3 +258,13 @@ def test_meetings_come_in_bounded_batches():
     assert max(b.num_rows for b in found) <= 1 << 16
     pairs = [p for b in found for p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
     assert len(pairs) == n * (n - 1) // 2 and all(a < b for a, b in set(pairs)) and len(set(pairs)) == len(pairs)
+
+
+def test_few_links_are_joined_by_the_driver(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1400)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rows = lambda found: sorted((r["node"], r["root"]) for r in found.collect())
+    want = rows(connected_components(df))
+    assert rows(connected_components(df, 10_000)) == rows(connected_components(df, 5)) == want
+    assert connected_components(df.where("false"), 5).collect() == []
